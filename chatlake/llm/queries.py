@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlake.llm import binary, decontaminate, linededup, packing, simhash, tokencount
+from chatlake.llm import binary, decontaminate, linededup, packing, quality, simhash, tokencount
 
 SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
 
@@ -39,6 +39,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(documents(spark, sf_dir), quality.ratings(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
@@ -46,4 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_binary": op7_token_binary,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
