@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlake.llm import binary, decontaminate, linededup, packing, quality, simhash, tokencount
+from chatlake.llm import binary, decontaminate, imatch, langid, linededup, packing, quality, simhash, tokencount
 
 SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
 
@@ -27,6 +27,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints_with_edits(documents(spark, sf_dir))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.packed_rows(documents(spark, sf_dir))
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
+    "op5_imatch": op5_imatch,
+    "op6_language": op6_language,
     "op7_token_binary": op7_token_binary,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
