@@ -17,7 +17,7 @@ equal rows; an empty table gives no row; other columns pass through the filter a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,8 +95,8 @@ class CumulativeLink:
             return None
         seen = np.bincount(np.concatenate(rows), minlength=1 << config.bits)
         used = np.flatnonzero((seen >= config.min_docs) & (seen < len(rows)))
-        place = np.full(1 << config.bits, -1, dtype=np.int64)
-        place[used] = np.arange(len(used))
+        place = np.full(1 << config.bits, -1, dtype=np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
         rows = [r[r >= 0] for r in (place[x] for x in rows)]
         w, w2 = np.zeros(len(used)), np.full(len(used), 1e-4)
         share = np.clip(np.cumsum(np.bincount(grades, minlength=config.grades))[:-1] / len(grades), 1e-3, 1 - 1e-3)
@@ -136,7 +136,7 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, rated: DataFrame, config: QualityConfig = QualityConfig()) -> CumulativeLink | None:
-    """Fits on the bounded sample; only its feature numbers and grades come to the driver."""
+    """Fits on the bounded sample, in one task."""
     bits = config.bits
     chosen = (
         rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -147,13 +147,24 @@ def fit(docs: DataFrame, rated: DataFrame, config: QualityConfig = QualityConfig
     def ids(texts: pa.Array) -> pa.Array:
         return pa.array([feature_ids(t.as_py(), bits).astype(np.int32).tobytes() for t in texts], type=pa.binary())
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i.as_py(), g.as_py(), x.as_py()) for b in batches for i, g, x in zip(*b.columns))
+        rows, y = [np.frombuffer(x, dtype=np.int32) for _, _, x in got], np.array([g for _, g, _ in got])
+        model = CumulativeLink.fit(rows, y, config) if rows else None
+        if model:
+            used = np.flatnonzero(model.weights)
+            cells = [used.astype(np.int32).tobytes(), model.weights[used].tobytes(), model.thresholds.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], type=pa.binary()) for c in cells], names=["at", "weights", "thresholds"])
+
     got = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "grade")), "doc_id").select("doc_id", "grade", ids("text").alias("x"))
-    table = got.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("x").alias("x")).toArrow()
-    order = np.argsort(np.asarray(table["doc_id"]), kind="stable")
-    rows = [np.frombuffer(table["x"][int(i)].as_py(), dtype=np.int32).astype(np.int64) for i in order]
-    y = np.asarray(table["grade"]).astype(np.int64)[order] if len(order) else np.empty(0, dtype=np.int64)
-    full = [i for i in range(len(rows)) if len(rows[i])]
-    return CumulativeLink.fit([rows[i] for i in full], y[full], config) if full else None
+    got = got.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("x").alias("x")).where(F.octet_length("x") > 0)
+    # One task takes the bounded sample; the driver gets the weights that are not zero.
+    row = got.repartition(1).mapInArrow(learn, "at binary, weights binary, thresholds binary").first()
+    if row is None:
+        return None
+    weights = np.zeros(1 << bits, dtype=np.float32)
+    weights[np.frombuffer(row["at"], dtype=np.int32)] = np.frombuffer(row["weights"], dtype=np.float32)
+    return CumulativeLink(weights, np.frombuffer(row["thresholds"], dtype=np.float64))
 
 
 SCORED = "struct<expected_grade: double, tail_probability: double>"
