@@ -1,0 +1,14 @@
+"""Places that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; where that is unset, as in local tests, under the machine's temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
