@@ -82,15 +82,22 @@ def _counted(found: Column, test) -> Column:
     return F.size(F.filter(found, test))
 
 
+# Cheap tests that hold for every text in which the step can find something.
+HINTS = {
+    "rosters": lambda t: F.contains(t, F.lit("\t")) & F.contains(t, F.lit("@")), "contacts": lambda t: F.contains(t, F.lit("<")) & F.contains(t, F.lit("@")), "emails": lambda t: F.contains(t, F.lit("@")),
+    "urls": lambda t: t.rlike(r"(?i)://|www\.|\.(?:com|net|org|io|ms|co|dev|tr|me)"), "phones": lambda t: t.rlike("[0-9]"), "handles": lambda t: F.contains(t, F.lit("@")),
+}
+
+
 def mask_rosters(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     row = lambda x: x.rlike(ROSTER_ROW)
     marked = F.transform(lines, lambda x, i: F.when(~row(x), x).when((i > 0) & row(F.get(lines, i - 1)), F.lit(None)).otherwise(F.lit(v.ROSTER_MARK)))
-    return F.array_join(F.filter(marked, lambda x: x.isNotNull()), "\n")
+    return F.when(HINTS["rosters"](text), F.array_join(F.filter(marked, lambda x: x.isNotNull()), "\n")).otherwise(text)
 
 
 def mask_contacts(text: Column) -> Column:
-    return F.regexp_replace(text, CONTACT, v.ROSTER_MARK.replace("[", r"\[").replace("]", r"\]"))
+    return F.when(HINTS["contacts"](text), F.regexp_replace(text, CONTACT, v.ROSTER_MARK.replace("[", r"\[").replace("]", r"\]"))).otherwise(text)
 
 
 def mask_emails(text: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column:
@@ -98,20 +105,20 @@ def mask_emails(text: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column
         kind = email_kind(m, policy)
         return F.when(kind == "email", F.lit(v.EMAIL_MARK)).when(kind == "official_email", F.lit(v.OFFICIAL_EMAIL_MARK)).otherwise(m)
 
-    return replaced(text, EMAIL, put)
+    return replaced(text, EMAIL, put, HINTS["emails"](text))
 
 
 def mask_urls(text: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column:
-    return replaced(text, URL, lambda m: F.when(is_public_host(host_of(m), policy), m).otherwise(F.lit(v.URL_MARK)))
+    return replaced(text, URL, lambda m: F.when(is_public_host(host_of(m), policy), m).otherwise(F.lit(v.URL_MARK)), HINTS["urls"](text))
 
 
 def mask_phones(text: Column) -> Column:
     tail = lambda m: F.regexp_extract(m, r"[.\-\s\x{a0}]+$", 0)
-    return replaced(text, PHONE, lambda m: F.when(is_phone(m), F.concat(F.lit(v.PHONE_MARK), tail(m))).otherwise(m))
+    return replaced(text, PHONE, lambda m: F.when(is_phone(m), F.concat(F.lit(v.PHONE_MARK), tail(m))).otherwise(m), HINTS["phones"](text))
 
 
 def mask_handles(text: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column:
-    return replaced(text, HANDLE, lambda m: F.when(F.lower(F.substring(m, 2, 40)).isin(*policy.kept_mentions), m).otherwise(F.lit(v.HANDLE_MARK)))
+    return replaced(text, HANDLE, lambda m: F.when(F.lower(F.substring(m, 2, 40)).isin(*policy.kept_mentions), m).otherwise(F.lit(v.HANDLE_MARK)), HINTS["handles"](text))
 
 
 def masked_steps(policy: MaskingPolicy) -> list[tuple[str, bool, object, object]]:
@@ -136,10 +143,10 @@ def with_masked(df, column: str = "text", into: str = "masked", counts: str | No
     """
     out, at, kept, found = df, "__m0", df.columns, {k: F.lit(0) for k in KINDS}
     out = out.withColumn(at, without_bidi(F.col(column)))
-    for n, (_, on, step, count) in enumerate(masked_steps(policy)):
+    for n, (name, on, step, count) in enumerate(masked_steps(policy)):
         if on:
             for k, c in count(F.col(at)).items():
-                out = out.withColumn(f"__n_{k}", c)
+                out = out.withColumn(f"__n_{k}", F.when(HINTS[name](F.col(at)), c).otherwise(0))
                 found[k] = F.col(f"__n_{k}")
             out = out.withColumn(f"__m{n + 1}", step(F.col(at)))
             at = f"__m{n + 1}"

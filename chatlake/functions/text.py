@@ -64,15 +64,18 @@ def words(text: Column) -> Column:
 
 def stems(text: Column, stopwords: Iterable[str] = STOPWORDS, length: int = 5) -> Column:
     """Content words cut to their first ``length`` characters, with repeats, in order."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    kept = F.filter(words(text), lambda w: (F.char_length(w) > 2) & ~F.array_contains(stop, w))
+    kept = F.filter(words(text), lambda w: (F.char_length(w) > 2) & ~w.isin(*stopwords))
     return F.transform(kept, lambda w: F.substring(w, 1, length))
 
 
-def replaced(text: Column, pattern: str, put: Callable[[Column], Column]) -> Column:
-    """Every match of ``pattern`` replaced by ``put(match)``: the pieces between and the matches, zipped."""
+def replaced(text: Column, pattern: str, put: Callable[[Column], Column], hint: Column | None = None) -> Column:
+    """Every match of ``pattern`` replaced by ``put(match)``: the pieces between and the matches, zipped.
+
+    ``hint`` is a cheap test that holds for every text with a match; other texts are left alone.
+    """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(between, F.transform(found, put), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    done = F.array_join(F.zip_with(between, F.transform(found, put), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return done if hint is None else F.when(hint, done).otherwise(text)
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +46,15 @@ def hashed(docs: DataFrame, key: str, text: str = "text", dims: int = 512) -> Da
 
 def dense(sparse: DataFrame, key: str, dims: int = 512) -> DataFrame:
     """``key, vector array<float>`` of places and values."""
-    filled = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return filled.select(key, vector.alias("vector"))
+    @F.arrow_udf("array<float>")
+    def fill(buckets: pa.Array, values: pa.Array) -> pa.Array:
+        out = np.zeros((len(buckets), dims), dtype=np.float32)
+        rows = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy(zero_copy_only=False))
+        out[rows, buckets.flatten().to_numpy()] = values.flatten().to_numpy()
+        return pa.array(list(out), type=pa.list_(pa.float32()))
+
+    listed = sparse.groupBy(key).agg(F.collect_list(F.struct("bucket", "value")).alias("e"))
+    return listed.select(key, fill(F.col("e.bucket"), F.col("e.value")).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,8 +72,6 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "qu
     The query set is packed into one matrix for the workers, in blocks of at most ``most_queries`` rows. Each task multiplies its
     batches with it and keeps its own best ``k`` for each query, so a shuffle carries tasks x queries x k rows, not the products.
     """
-    import pyarrow as pa
-
     rows = sorted(((r[0], r[1]) for r in queries.select(query, "vector").collect()), key=lambda r: str(r[0]))
     q_type, k_type = queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     shape = f"{query} {q_type}, {key} {k_type}, score double"

@@ -55,7 +55,7 @@ def authority(role: Column, ratio: Column, boost: Column, penalty: Column) -> Co
 
 def fused(dense: DataFrame, lexical: DataFrame, query: str, key: str, pool: int) -> DataFrame:
     """``query, key, dense, bm25`` of both candidate lists; a candidate of one list still gets its other score if it has one."""
-    best = Window.partitionBy(query).orderBy(F.desc("bm25"), key)
+    best = Window.partitionBy(query).orderBy(F.desc(F.round("bm25", 9)), key)
     top = lexical.where("bm25 > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).select(query, key, F.lit(True).alias("listed"))
     both = dense.select(query, key, F.col("score").alias("dense")).join(top, [query, key], "full_outer")
     return both.join(lexical, [query, key], "left").select(query, key, F.greatest(F.coalesce("dense", F.lit(0.0)), F.lit(0.0)).alias("dense"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
@@ -93,11 +93,12 @@ def diversified(pool: DataFrame, limit: int, query: str = "query_id", key: str =
             return F.struct(F.when(near >= dup, F.lit(None)).otherwise(-lam * c["n"] - (1 - lam) * near).alias("v"), (-i).alias("i"))
 
         options = F.filter(F.transform(s["rest"], value), lambda o: o["v"].isNotNull())
-        at = -F.array_max(options)["i"]
-        none = F.size(options) == 0
-        return F.when(none, s).otherwise(
-            F.struct(F.concat(s["chosen"], F.slice(s["rest"], at + 1, 1)).alias("chosen"), F.filter(s["rest"], lambda c, i: i != at).alias("rest"))
+        # The best option is bound once, as the one element of an array; written out it would be worked out again for every element.
+        taken = F.transform(
+            F.array(F.array_max(options)["i"]),
+            lambda i: F.when(i.isNull(), s).otherwise(F.struct(F.concat(s["chosen"], F.slice(s["rest"], 1 - i, 1)).alias("chosen"), F.filter(s["rest"], lambda c, n: n != -i).alias("rest"))),
         )
+        return F.get(taken, F.lit(0))
 
     steps = F.sequence(F.lit(2), F.lit(limit)) if limit > 1 else F.array().cast("array<int>")
     chosen = lists.select(query, F.posexplode(F.aggregate(steps, start, pick, lambda s: s["chosen"])).alias("place", "c"))

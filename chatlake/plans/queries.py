@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from chatlake.plans.sql import (
     CONTENT_STEMS, any_of, case_of, literal, low, masked_chain, replaced_sql, stems_sql, strip_sql, values,
 )
 from chatlake.sources import chats, files
+from chatlake.sources.shared import fresh, materialized
 from chatlake.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +233,10 @@ def chunk_windows_greedy(spark, sf_dir):
     return rows.select("source", "line_no", (F.dense_rank().over(order) - 1).cast("long").alias("window_no"))
 
 
-@query("chunk_attributes", _WINDOWS + """
+_SHORT_WINDOWS = _WINDOWS.replace("WHERE role <> 'system'", "WHERE role <> 'system' AND length('[tarihsiz] ' || role || ': ' || text) <= 900")
+
+
+@query("chunk_attributes", _SHORT_WINDOWS + """
 SELECT source || '#' || lpad(row_number() OVER (PARTITION BY source ORDER BY win)::VARCHAR, 4, '0') AS chunk_id, role, message_count, instructor_ratio, senders, text FROM (
   SELECT w.source, w.win, CASE WHEN sum(CASE WHEN m.role = 'assistant' THEN length(m.text) ELSE 0 END) / greatest(sum(length(m.text)), 1) >= 0.5 THEN 'instructor' ELSE 'participant' END AS role,
     count(*)::INTEGER AS message_count, round(sum(CASE WHEN m.role = 'assistant' THEN length(m.text) ELSE 0 END) / greatest(sum(length(m.text)), 1), 6) AS instructor_ratio,
@@ -239,8 +244,7 @@ SELECT source || '#' || lpad(row_number() OVER (PARTITION BY source ORDER BY win
   FROM w JOIN m USING (source, i) WHERE NOT w.long GROUP BY w.source, w.win) WHERE length(text) >= 8""")
 def chunk_attributes(spark, sf_dir):
     turns = _turns(spark, sf_dir)
-    short = turns.where(F.char_length(chunking.rendered(F.col("ts"), F.col("sender"), F.col("text"))) <= 900)
-    out = chunking.chunk_messages(short if short.count() == turns.count() else turns)
+    out = chunking.chunk_messages(turns.where(F.char_length(chunking.rendered(F.col("ts"), F.col("sender"), F.col("text"))) <= 900))
     return out.select("chunk_id", "role", "message_count", F.round("instructor_ratio", 6).alias("instructor_ratio"), F.size("senders").alias("senders"), "text")
 
 
@@ -476,7 +480,7 @@ def _as_chunks(spark, sf_dir):
 
 
 _SCORED = _LEX + f""", c AS ({_CHUNK_SQL}), latest AS (SELECT max(start_time) AS latest FROM c),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS r FROM bm) WHERE r <= 30),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM bm) WHERE r <= 30),
 x AS (SELECT query_id, c.*, bm25, CASE WHEN bm25 > 0 THEN bm25 / (bm25 + 8) ELSE 0 END AS lexical, CASE WHEN role = 'document' THEN 1.0 ELSE (1 + 0.35 * ratio) * (1 - 0.55 * (1 - ratio)) END AS a,
   1 + 0.1 * coalesce(pow(0.5, greatest(epoch(latest - start_time) / 86400, 0) / 45), 0) AS r FROM l JOIN c USING (doc_id), latest)
 """
@@ -578,6 +582,8 @@ def strip_markers(spark, sf_dir):
     return cases.table(spark, cases.MARKERS, "text string, n int").withColumn("kept", answering.without_false_markers(F.col("text"), F.col("n")))
 
 
+# Case-insensitive matching takes i and ı for the same letter; RE2 does not.
+_ANY_I = re.sub("[iı]", "[iıIİ]", "|".join(v.ACTION_WORDS))
 _SENTENCES = _ranked_sql() + f""", cite AS (SELECT query_id, doc_id, text, place AS citation FROM top WHERE place <= 3),
 raw AS (SELECT query_id, citation, i - 1 AS pos, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS raw FROM (SELECT query_id, citation, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM cite), LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)),
 cl AS (SELECT *, {strip_sql("regexp_replace(regexp_replace(regexp_replace(" + strip_sql("regexp_replace(raw, '^[-*• ]+', '')") + ", '^#+\\s+', ''), '^\\[[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}(\\s+[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?\\]\\s*[^:\\n]+:\\s*', ''), '\\s+', ' ', 'g')")} AS sentence FROM raw),
@@ -586,7 +592,7 @@ us AS (SELECT *, list_distinct({stems_sql('sentence')}) AS s FROM cl WHERE lengt
 qs AS (SELECT item_id AS query_id, list_filter(list_distinct({stems_sql('text')}), lambda x: x NOT IN ({', '.join(map(literal, v.WEAK_STEMS))})) AS q FROM benchmark),
 cnt AS (SELECT *, len(list_intersect(q, s)) AS shared, {' + '.join(f"contains(lower(sentence), {literal(w)})::INT" for w in v.COVERAGE_WORDS)} AS covered FROM us JOIN qs USING (query_id)),
 sc AS (SELECT query_id, citation::INTEGER AS citation, pos::INTEGER AS pos, sentence, (shared + CASE WHEN covered >= 3 THEN 3 WHEN covered = 2 THEN 1 ELSE 0 END + CASE WHEN contains(lower(raw), 'eğitmen:') THEN 2 ELSE 0 END
-  + CASE WHEN regexp_matches(' ' || sentence || ' ', '(?i)[^{text.W}]({'|'.join(v.ACTION_WORDS)})[^{text.W}]') THEN 2 ELSE 0 END - CASE WHEN len(q) > 0 AND len(s) > 0 AND shared / len(list_distinct(list_concat(q, s))) >= 0.65 THEN 3 ELSE 0 END)::INTEGER AS score FROM cnt)
+  + CASE WHEN regexp_matches(' ' || sentence || ' ', '(?i)[^{text.W}]({_ANY_I})[^{text.W}]') THEN 2 ELSE 0 END - CASE WHEN len(q) > 0 AND len(s) > 0 AND shared / len(list_distinct(list_concat(q, s))) >= 0.65 THEN 3 ELSE 0 END)::INTEGER AS score FROM cnt)
 """
 
 
@@ -602,10 +608,12 @@ def sentence_rank(spark, sf_dir):
 
 
 @query("extractive_answer", _SENTENCES + """, ok AS (SELECT * FROM sc WHERE score > 0), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(sentence) ORDER BY score DESC, citation, pos) AS k FROM ok) WHERE k = 1),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation, pos) AS rank FROM once)
-SELECT query_id, 'Kısa cevap:' || chr(10) || max(sentence || ' [' || citation || ']') FILTER (WHERE rank = 1) || chr(10) || chr(10) || 'Ne yapmalısın:' || chr(10) || max('- ' || sentence || ' [' || citation || ']') FILTER (WHERE rank = 1) || chr(10) || chr(10)
- || 'Kaynaklara göre kanıt:' || chr(10) || string_agg('- ' || sentence || ' [' || citation || ']', chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) || chr(10) || chr(10) || 'Kaynaklar:' || chr(10)
- || array_to_string(list_transform(list_sort(list_distinct(list(citation) FILTER (WHERE rank <= 3))), lambda x: '[' || x || ']'), ', ') AS answer FROM rk GROUP BY query_id""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation, pos) AS rank FROM once),
+ac AS (SELECT *, rank > 1 AND regexp_matches(' ' || sentence || ' ', '(?i)[^""" + text.W + "](" + _ANY_I + ")[^" + text.W + """]') AS acts FROM rk),
+an AS (SELECT *, rank = 1 OR (acts AND sum(acts::INT) OVER (PARTITION BY query_id ORDER BY rank) <= 2) AS action FROM ac)
+SELECT query_id, 'Kısa cevap:' || chr(10) || max(sentence || ' [' || citation || ']') FILTER (WHERE rank = 1) || chr(10) || chr(10) || 'Ne yapmalısın:' || chr(10) || string_agg('- ' || sentence || ' [' || citation || ']', chr(10) ORDER BY rank) FILTER (WHERE action)
+ || chr(10) || chr(10) || 'Kaynaklara göre kanıt:' || chr(10) || string_agg('- ' || sentence || ' [' || citation || ']', chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) || chr(10) || chr(10) || 'Kaynaklar:' || chr(10)
+ || array_to_string(list_transform(list_sort(list_distinct(list(citation) FILTER (WHERE rank <= 3 OR action))), lambda x: '[' || x || ']'), ', ') AS answer FROM an GROUP BY query_id""")
 def extractive_answer(spark, sf_dir):
     return answering.extractive(_sentences(spark, sf_dir))
 
@@ -638,7 +646,8 @@ def triage_messages(spark, sf_dir):
 def _conversation_index(spark, sf_dir) -> index.Index:
     export = cases.table(spark, [("chat", cases.EXPORT)], "source string, text string")
     chunks = chunking.chunk_messages(_turns(spark, sf_dir).unionByName(chats.messages(export).drop("masked_counts").withColumn("line_no", F.col("line_no").cast("long"))))
-    return index.Index(chunks, embedding.embedded(chunks, "chunk_id"), embedding.HASHING, {})
+    chunks = materialized(chunks, "chunks")
+    return index.Index(chunks, materialized(embedding.embedded(chunks, "chunk_id"), "vectors"), embedding.HASHING, {})
 
 
 # ------------------------------------------------------------------ queue and updates
@@ -718,8 +727,6 @@ def update_dedup_collision(spark, sf_dir):
   SELECT event_id, user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > INTERVAL 30 MINUTE, false)::INT AS new FROM events)""")
 def stream_dedup_sessions(spark, sf_dir):
     """The events twice as a stream, without the second ones, written once; then sessions over what the stream wrote."""
-    from chatlake.plans.paths import fresh
-
     out = fresh(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else _folder_of(spark, sf_dir, out))
