@@ -152,7 +152,10 @@ def with_masked(df, column: str = "text", into: str = "masked", counts: str | No
             at = f"__m{n + 1}"
     total = F.struct(*[found[k].cast("int").alias(k) for k in KINDS])
     keep = [F.col(c) for c in kept if c not in (into, counts)]
-    return out.select(*keep, tidy_lines(F.col(at)).alias(into), *([total.alias(counts)] if counts else []))
+    # One-element explode: a filter on the masked text must not be pushed below, where it would repeat every step's expression.
+    done = F.struct(tidy_lines(F.col(at)).alias("t"), *([total.alias("n")] if counts else []))
+    out = out.select(*keep, F.explode(F.array(done)).alias("__done"))
+    return out.select(*keep, F.col("__done.t").alias(into), *([F.col("__done.n").alias(counts)] if counts else []))
 
 
 def total_of(counts: str) -> Column:

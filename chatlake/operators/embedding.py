@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chatlake.functions.text import words
 
@@ -75,8 +76,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "qu
     rows = sorted(((r[0], r[1]) for r in queries.select(query, "vector").collect()), key=lambda r: str(r[0]))
     q_type, k_type = queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     shape = f"{query} {q_type}, {key} {k_type}, score double"
+    kinds = [to_arrow_type(queries.schema[query].dataType), to_arrow_type(vectors.schema[key].dataType), pa.float64()]
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], shape + ", rank int")
     out = None
-    for at in range(0, max(1, len(rows)), most_queries):
+    for at in range(0, len(rows), most_queries):
         block = rows[at : at + most_queries]
         ids = [r[0] for r in block]
         m = np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1)
@@ -100,8 +104,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "qu
                 held = part if held is None else pd.concat([held, part])
                 held = held.sort_values(["q", "s", "x"], ascending=[True, False, True]).groupby("q", sort=False).head(2 * k)
             if held is not None:
-                cols = [pa.array([ids[i] for i in held["q"]]), pa.array(held["x"].tolist()), pa.array(held["s"].to_numpy())]
-                yield pa.RecordBatch.from_arrays(cols, names=[query, key, "score"])
+                cols = [[ids[i] for i in held["q"]], held["x"].tolist(), held["s"].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=[query, key, "score"])
 
         found = vectors.select(key, "vector").where(F.col("vector").isNotNull()).mapInArrow(best, shape)
         out = found if out is None else out.union(found)
