@@ -33,7 +33,7 @@ _ONE = 1 << 24  # a total is cost * _ONE + pieces
 @dataclass(frozen=True)
 class TokenCountConfig:
     vocabulary_path: str | None = None
-    kept_words: int = 300_000
+    kept_words: int = 500_000
     kept_chars: int = 64  # longer pre-tokens are counted again when they come again
 
 
@@ -46,7 +46,13 @@ def default_path() -> str:
 class Unigram:
     def __init__(self, costs: dict[str, int]):
         self.step = {p: c * _ONE + 1 for p, c in costs.items()}
-        self.longest = max(map(len, costs), default=1)
+        # The pieces from their last character backwards: a walk from an end stops where no piece goes on.
+        self.backwards: dict = {}
+        for p, c in self.step.items():
+            node = self.backwards
+            for char in reversed(p):
+                node = node.setdefault(char, {})
+            node[""] = c
         self.byte = (max(costs.values(), default=0) + 10_000) * _ONE + 1
 
     @classmethod
@@ -61,18 +67,24 @@ class Unigram:
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Token counts of distinct ``words``, each scored behind the word mark."""
-        out, step, longest = {}, self.step, self.longest
+        out, back, byte = {}, self.backwards, self.byte
         path, before = [0], ""
         for word in sorted(words):
             marked = MARK + word
             shared = len(os.path.commonprefix((before, marked)))
             del path[shared + 1 :]
             for end in range(shared + 1, len(marked) + 1):
-                best = path[end - 1] + self.byte * len(marked[end - 1].encode("utf-8", "replace"))
-                for start in range(max(0, end - longest), end):
-                    c = step.get(marked[start:end])
+                char = marked[end - 1]
+                best = path[end - 1] + byte * (1 if char < "\x80" else len(char.encode("utf-8", "replace")))
+                node, start = back.get(char), end - 1
+                while node is not None:
+                    c = node.get("")
                     if c is not None and path[start] + c < best:
                         best = path[start] + c
+                    if not start:
+                        break
+                    start -= 1
+                    node = node.get(marked[start])
                 path.append(best)
             out[word], before = path[-1] % _ONE, marked
         return out
@@ -92,9 +104,10 @@ def token_counts(docs: DataFrame, config: TokenCountConfig = TokenCountConfig())
         model, kept = unigram(path)
         out = []
         for at in range(0, len(texts), 256):
-            words = [[w.decode("utf-8", "replace") for w in (t or "").encode("utf-8", "replace").split()] for t in texts.slice(at, 256).to_pylist()]
+            words = [(t or "").encode("utf-8", "replace").split() for t in texts.slice(at, 256).to_pylist()]
             new = {w for ws in words for w in ws if w not in kept}
-            got = model.counts(list(new))
+            text_of = {w.decode("utf-8", "replace"): w for w in new}
+            got = {text_of[w]: n for w, n in model.counts(list(text_of)).items()}
             if len(kept) + len(got) > config.kept_words:
                 here = {w: kept[w] for ws in words for w in ws if w in kept}
                 kept.clear()
