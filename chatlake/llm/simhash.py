@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from chatlake.llm.common import dropped, least_reachable, written
+from chatlake.llm.common import least_reachable, written
 
 
 @dataclass(frozen=True)
@@ -282,10 +282,10 @@ def classes(docs: DataFrame, config: SimHashConfig = OP8) -> DataFrame:
         links = got if links is None else links.union(got)
     roots = least_reachable(links)
     least = prints.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("least"))
-    named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        F.col("node").alias("f0"), "component_id"
-    )
+    named = written(least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "named")
+    # Written, so that both sides of the join are plain exchanges, which the adaptive skew join can split at a very large class.
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = named.join(ids, "root").select(F.col("node").alias("f0"), "component_id")
     return prints.join(named, "f0")
 
 
