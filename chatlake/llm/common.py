@@ -62,9 +62,10 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     while before[0]:
         # Large star: every larger neighbour of a node hangs on the least of its neighbours and itself.
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that the join has plain exchanges on both sides and a hub's neighbours can be split over tasks.
+        hubs = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            both.where("b > a").join(hubs, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
         # Small star: every smaller neighbour of a node, and the node, hang on the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -72,6 +73,7 @@ def least_reachable(edges: DataFrame) -> DataFrame:
         after = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = print_of(after)
         dropped(state)
+        dropped(hubs)
         state = after
         if now == before:
             break
