@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from chatlake.llm.common import written
+from chatlake.llm.sampling import hash_cut
+
 _TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -138,10 +141,10 @@ def ratings(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, rated: DataFrame, config: QualityConfig = QualityConfig()) -> CumulativeLink | None:
     """Fits on the bounded sample, in one task."""
     bits = config.bits
-    chosen = (
-        rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-        .join(docs.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct(), "doc_id").orderBy("h", "doc_id").limit(config.sample_docs)
-    )
+    known = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    found = written(rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")).join(known, "doc_id"), "rated")
+    # A cut on the hash leaves about twice the sample, however many tasks there are, of which the least are taken.
+    chosen = found.where(hash_cut(F.col("doc_id"), config.sample_docs, found.count())).orderBy("h", "doc_id").limit(config.sample_docs)
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:

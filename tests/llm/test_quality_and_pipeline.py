@@ -135,3 +135,18 @@ def test_run_equals_the_stages(spark, sf001):
     *_, (_, _, last) = brute_stages(spark, sf001)
     key = lambda df: sorted((r.doc_id, r.doc_tokens) for r in df.where("start = 0").collect())
     assert key(whole) == key(last)
+
+
+def test_samples_do_not_depend_on_partitions_and_stay_near_their_size(spark):
+    from pyspark.sql import functions as F
+
+    from chatlake.llm.sampling import hash_cut
+
+    rows = spark.range(20_000)
+    few = {r.id for r in rows.where(hash_cut(F.col("id"), 500, 20_000)).collect()}
+    assert 800 < len(few) < 1200
+    assert few == {r.id for r in rows.repartition(7).where(hash_cut(F.col("id"), 500, 20_000)).collect()}
+    least = [r.id for r in rows.orderBy(F.xxhash64("id")).limit(500).collect()]
+    assert set(least) <= few
+    assert rows.where(hash_cut(F.col("id"), 20_000, 20_000)).count() == 20_000
+    assert rows.where(hash_cut(F.col("id"), 5, F.lit(3))).count() == 20_000
