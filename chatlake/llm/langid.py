@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.llm.sampling import hash_cut
+
 _K = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
@@ -136,7 +138,10 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Centroids
     for at, k in df.items():
         idf[at] = np.log((1 + n) / (1 + k)) + 0.05
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.sample_docs)
+    sizes = train.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    # A cut on the hash leaves about twice the sample of each language, however many tasks there are.
+    ids = train.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(hash_cut(F.col("doc_id"), config.sample_docs, F.col("of_lang"))).select("doc_id", "lang")
+    chosen = ids.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.sample_docs)
 
     @F.arrow_udf("binary")
     def vectors(texts: pa.Array) -> pa.Array:
