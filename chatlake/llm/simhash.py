@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -52,10 +53,25 @@ class SimHashConfig:
 
 
 OP8 = SimHashConfig()
-#: For dropping near copies: sets of words, four independent fingerprints of which one must be within 3 bits. Of
-#: pairs with a Jaccard similarity of 0.8 or more on five-word shingles, measured recall is above 0.99.
+#: For dropping near copies: sets of words, four independent fingerprints of which one must be within 3 bits. Alone it
+#: finds few short or shortened copies (see the README); :class:`JaccardConfig` brings those together.
 NEAR_COPIES = SimHashConfig(shingle=1, distinct=True, seeds=(42, 43, 44, 45), budget=3)
 
+
+
+@dataclass(frozen=True)
+class JaccardConfig:
+    """Links are verified: at least ``threshold`` of the union of two texts' sets of ``shingle``-word shingles is common.
+
+    ``bands`` keys of ``rows`` least hashes each bring texts together: of pairs at 0.8, (1 - 0.8 ** 4) ** 24, 3 in a million, share none.
+    """
+
+    shingle: int = 5
+    threshold: Fraction = Fraction(4, 5)
+    bands: int = 24
+    rows: int = 4
+
+
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -294,11 +310,126 @@ def simhash_components(docs: DataFrame, config: SimHashConfig = OP8) -> DataFram
     return classes(docs, config).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, config: SimHashConfig = NEAR_COPIES) -> DataFrame:
+# ---------------------------------------------------------------- near copies
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text shorter than ``size`` words is one shingle, one without words none."""
+    found = features(text, size, True)
+    return np.unique(np.fromiter(map(xxh64_intdigest, found), dtype=np.uint64, count=len(found)))
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= threshold * (len(a) + len(b) - common)
+
+
+def band_keys(hashes: np.ndarray, config: JaccardConfig, chunk: int = 1 << 13) -> np.ndarray:
+    """A key for each band, from the least of the set's hashes under ``bands * rows`` orders; none for an empty set."""
+    if not len(hashes):
+        return hashes
+    factors = np.random.default_rng(7).integers(0, 1 << 63, (2, config.bands * config.rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(config.bands * config.rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(hashes), chunk):
+        x = hashes[k : k + chunk] * factors[0]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * factors[1]).min(axis=1))
+    return np.array([xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(config.bands, config.rows))], dtype=np.uint64)
+
+
+def marks(docs: DataFrame, config: SimHashConfig, jaccard: JaccardConfig) -> DataFrame:
+    """``doc_id, node, size, keys, hashes, f0, ...``: node is a hash of the shingle set, so that texts with equal sets are one node."""
+    names = ["doc_id", "node", "size", "keys", "hashes", *(f"f{i}" for i in range(len(config.seeds)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                part = batch.slice(k, 512)
+                texts = part.column(1).to_pylist()
+                sets = [shingle_set(t, jaccard.shingle) for t in texts]
+                prints = np.array([fingerprints_of(t, config) for t in texts], dtype=np.uint64).view(np.int64)
+                cols = [
+                    pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)),
+                    pa.array([len(s) for s in sets], type=pa.int64()),
+                    pa.array([band_keys(s, jaccard).view(np.int64) for s in sets], type=pa.list_(pa.int64())),
+                    pa.array([s.tobytes() for s in sets], type=pa.binary()),
+                    *(pa.array(prints[:, i]) for i in range(len(config.seeds))),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+
+    shape = ", ".join(["doc_id long, node long, size long, keys array<long>, hashes binary", *(f"{n} long" for n in names[5:])])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(run, shape)
+
+
+def print_pairs(nodes: DataFrame, config: SimHashConfig) -> DataFrame:
+    """Pairs ``a, b`` of nodes that join all of ``nodes(node, f0, ...)`` with near fingerprints of any seed to the same classes."""
+    out = None
+    for i in range(len(config.seeds)):
+        own = nodes.select(F.col(f"f{i}").alias("fp"), "node")
+        least = written(own.groupBy("fp").agg(F.min("node").alias("least")), "least")
+        links = trie_self_join(least.select("fp"), config.budget, config)
+        links = links.join(least.toDF("a", "na"), "a").join(least.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        links = links.union(own.join(least, "fp").where("node <> least").select("node", "least"))
+        out = links if out is None else out.union(links)
+    return out
+
+
+def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Those of ``pairs(a, b)`` (nodes of ``sets``) that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(h.as_py(), dtype=np.uint64) for h in batch.column(k)] for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([jaccard_at_least(p, q, config.threshold) for p, q in zip(x, y)], type=pa.bool_()))
+
+    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+    held = sets.select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    held = written(held, "held")
+    both = pairs.join(held.toDF("a", "ha"), "a").join(held.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    return written(both.mapInArrow(run, "a long, b long"), "verified")
+
+
+def banded_pairs(banded: DataFrame, roots: DataFrame, config: JaccardConfig) -> DataFrame:
+    """All pairs ``a, b`` of nodes that share a key, lie in different classes of ``roots(node, root)`` and are not too unlike in size."""
+    named = banded.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named")
+    first = written(named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key", "first"), "first")
+    # Of two classes one at least is not the key's first, which is the large one as a rule: only those outside it meet all.
+    all_ = written(named.join(first, "key"), "all")
+    t = config.threshold
+    few = all_.where("root <> first").select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("root").alias("r"))
+    pairs = few.join(all_.select("key", F.col("node").alias("b"), "size", "root"), "key").where("r <> root")
+    pairs = pairs.where(F.least("n", "size") * t.denominator >= F.greatest("n", "size") * t.numerator)
+    return pairs.select("a", "b")
+
+
+def near_copies(docs: DataFrame, config: SimHashConfig, jaccard: JaccardConfig) -> DataFrame:
+    """``doc_id, component_id``: classes by links of fingerprints, and by links that are verified on the shingle sets.
+
+    The fingerprints' links are taken as they are; those of a key's nodes with its least one are verified first and join most of a large class. Then
+    all pairs of a key whose classes still differ are verified, so that the classes are those of all pairs that share a key and reach the threshold.
+    """
+    sets = written(marks(docs, config, jaccard), "sets")
+    nodes = written(sets.drop("doc_id", "hashes").dropDuplicates(["node"]), "nodes")
+    banded = nodes.select("node", "size", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    banded = written(banded.join(written(hubs, "hubs"), "key"), "banded")
+    pairs = banded.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = written(print_pairs(nodes, config), "links").union(verified(pairs, sets, jaccard))
+    rest = banded_pairs(banded.drop("hub"), written(least_reachable(links), "roots"), jaccard)
+    roots = least_reachable(links.union(verified(rest, sets, jaccard)))
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = written(least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "named")
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    return sets.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, config: SimHashConfig = NEAR_COPIES, jaccard: JaccardConfig = JaccardConfig()) -> DataFrame:
     """``docs`` with all its columns; of each class the document with the least doc_id stays.
 
     Rows with a null doc_id stay, as do repeated rows of the document that stays.
     """
-    keep = classes(docs, config).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    keep = near_copies(docs, config, jaccard).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     stay = docs.join(keep, F.col("doc_id") == F.col("__kept"), "left_semi")
     return stay.union(docs.where("doc_id is null"))

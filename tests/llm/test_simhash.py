@@ -86,3 +86,33 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.root for r in least_reachable(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_copies_of_every_length_go(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for length in (9, 12, 15, 20, 30, 50, 100, 400):
+        for k in range(12):
+            base = [f"word{i}" for i in rng.integers(0, 3000, length)]
+            near = ([*base, "more"], [*base[:-1], "other"], base[: length - length // 8])[k % 3]
+            if alike(shingles(" ".join(base)), shingles(" ".join(near))):
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows) > 150
+    assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == set(range(0, len(rows), 2))
+
+
+def test_band_keys_of_long_sets_do_not_depend_on_the_chunk():
+    hashes = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    config = simhash.JaccardConfig()
+    assert np.array_equal(simhash.band_keys(hashes, config), simhash.band_keys(hashes, config, chunk=100))
+    assert len(simhash.band_keys(hashes, config)) == config.bands and not len(simhash.band_keys(hashes[:0], config))
