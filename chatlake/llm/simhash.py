@@ -405,9 +405,9 @@ def banded_pairs(banded: DataFrame, roots: DataFrame, config: JaccardConfig) ->
 
 
 def near_copies(docs: DataFrame, config: SimHashConfig, jaccard: JaccardConfig) -> DataFrame:
-    """``doc_id, component_id``: classes by links of fingerprints, and by links that are verified on the shingle sets.
+    """``doc_id, component_id``: classes by links that are verified on the shingle sets.
 
-    The fingerprints' links are taken as they are; those of a key's nodes with its least one are verified first and join most of a large class. Then
+    The fingerprints' links, and those of a key's nodes with its least one, come first and join most of a large class. Then
     all pairs of a key whose classes still differ are verified, so that the classes are those of all pairs that share a key and reach the threshold.
     """
     sets = written(marks(docs, config, jaccard), "sets")
@@ -416,7 +416,7 @@ def near_copies(docs: DataFrame, config: SimHashConfig, jaccard: JaccardConfig)
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     banded = written(banded.join(written(hubs, "hubs"), "key"), "banded")
     pairs = banded.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = written(print_pairs(nodes, config), "links").union(verified(pairs, sets, jaccard))
+    links = verified(pairs.union(print_pairs(nodes, config)), sets, jaccard)
     rest = banded_pairs(banded.drop("hub"), written(least_reachable(links), "roots"), jaccard)
     roots = least_reachable(links.union(verified(rest, sets, jaccard)))
     least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))

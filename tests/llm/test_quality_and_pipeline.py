@@ -150,3 +150,23 @@ def test_samples_do_not_depend_on_partitions_and_stay_near_their_size(spark):
     assert set(least) <= few
     assert rows.where(hash_cut(F.col("id"), 20_000, 20_000)).count() == 20_000
     assert rows.where(hash_cut(F.col("id"), 5, F.lit(3))).count() == 20_000
+
+
+def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf001):
+    docs = spark.read.parquet(f"{sf001.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    extra = [(900_001, "Les."), (900_002, "Les.\nLes."), (900_003, "one two three four five six"), (900_004, "six five four three two one")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    rows = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for d, w in rows.items()}
+    want, seen = set(), set()
+    for d in sorted(sets):
+        if d not in seen:
+            want.add(d)
+            todo = [d]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [e for e in sets if e not in seen and 5 * len(sets[x] & sets[e]) >= 4 * len(sets[x] | sets[e])]
+    assert {900_001, 900_002, 900_003, 900_004} <= want
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf001).collect()} == want
