@@ -248,6 +248,13 @@ def chunk_attributes(spark, sf_dir):
     return out.select("chunk_id", "role", "message_count", F.round("instructor_ratio", 6).alias("instructor_ratio"), F.size("senders").alias("senders"), "text")
 
 
+@query("chunk_conversations")
+def chunk_conversations(spark, sf_dir):
+    """Chunks of all turns; ``chunk_attributes`` takes the turns that fit in a chunk, as SQL cannot express the splitting of the others."""
+    out = chunking.chunk_messages(_turns(spark, sf_dir))
+    return out.select("chunk_id", "source", "role", "message_count", F.round("instructor_ratio", 6).alias("instructor_ratio"), F.size("senders").alias("senders"), "text")
+
+
 @query("split_long_text")
 def split_long_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "text")
