@@ -84,6 +84,32 @@ def test_packing_keeps_all_limits_of_conversations(spark):
     assert len(by_doc) == turns.select("conv_id").distinct().count()
 
 
+def test_packing_of_all_conversations_is_whole_and_bound_by_loss(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    config = packing.packed_conversations.__defaults__[0]
+    by_seq, by_doc = defaultdict(list), defaultdict(list)
+    for p in packing.packed_conversations(turns).collect():
+        by_seq[p.sequence_id].append(p)
+        by_doc[p.doc_id].append(p)
+    tok, want = tokenizer(default_path()), defaultdict(list)
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn)):
+        ids = tok.ids(r.text or "").tolist()
+        want[r.conv_id] += zip(ids, [r.role == "assistant"] * len(ids))
+    assert set(by_doc) == set(want)
+    for d, got in by_doc.items():
+        full, at = [*want[d], (config.end_id, True)], 0
+        for p in sorted(got, key=lambda p: p.start):
+            part = full[p.start : p.start + p.length]
+            assert p.start == at and p.ids_crc32 == zlib.crc32(np.array([i for i, _ in part], dtype="<u4").tobytes())
+            assert p.loss_tokens == sum(bears for _, bears in part)
+            at += p.length
+        assert at == len(full) == got[0].doc_tokens
+    sums = [(sum(p.length for p in got), len(got), sum(p.loss_tokens for p in got)) for got in by_seq.values()]
+    assert all(t <= config.tokens and n <= config.segments and loss <= config.loss_tokens for t, n, loss in sums)
+    bound = [s for s in sums if s[0] < config.tokens and s[2] == config.loss_tokens]
+    assert bound
+
+
 def test_room_tree_finds_the_least_room():
     rng = random.Random(4)
     tree, rooms = binary.RoomTree(1024), []
