@@ -86,6 +86,12 @@ def mask_rosters_contacts(spark, sf_dir):
     return rows.select("doc_id", masking.mask_contacts(masking.mask_rosters(F.col("text"))).alias("masked"))
 
 
+@query("mask_rosters_contacts_documents", f"SELECT doc_id, {masked_chain('text', ['contacts'], 'rosters')} AS masked FROM (SELECT doc_id, text FROM documents UNION ALL {values(cases.MASKING, 'doc_id, text')})")
+def mask_rosters_contacts_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(cases.table(spark, cases.MASKING, "doc_id long, text string"))
+    return rows.select("doc_id", masking.mask_contacts(masking.mask_rosters(F.col("text"))).alias("masked"))
+
+
 _MASKED_SQL = f"""
 WITH t AS (SELECT doc_id, source, text FROM documents UNION ALL SELECT doc_id, 'case', text FROM ({values(cases.MASKING, 'doc_id, text')})),
 a AS (SELECT *, {masked_chain('text', [], 'rosters')} AS m1 FROM t), b AS (SELECT *, {masked_chain('m1', ['contacts'])} AS m2 FROM a),
