@@ -83,3 +83,16 @@ def test_table(spark):
     hidden = pii.masked(docs).where("doc_id in (5001, 5002)").collect()
     assert hidden[0].spans == "x" and {r.text for r in hidden if r.text} == {"Call [PHONE] now. Later he said [PHONE] again, and in 1987 it was 42 or 3.5."}
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_numbers_are_found_in_documents_without_base_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    text = "Call (974) 555-3436 now. Later he said (974) 555-3436 again, and in 1987 it was 42 or 3.5."
+    assert not pii.base_spans(text)
+    field = pii.fit(docs)
+    first, second = text.index("("), text.rindex("(")
+    want = [("phone", first, first + 14), ("phone", second, second + 14)]
+    assert pii.all_spans(text, field, pii.PiiConfig()) == ([], want)
+    assert pii.all_spans(text[:24], field, pii.PiiConfig()) == ([], want[:1])
+    alone = [r.text for r in docs.collect() if not pii.base_spans(r.text or "")]
+    assert not any(pii.all_spans(t or "", field, pii.PiiConfig())[1] for t in alone)
