@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from chatlake.llm.common import least_reachable, written
+from chatlake.llm.common import free_name, least_reachable, written
 
 
 @dataclass(frozen=True)
@@ -58,18 +58,19 @@ OP8 = SimHashConfig()
 NEAR_COPIES = SimHashConfig(shingle=1, distinct=True, seeds=(42, 43, 44, 45), budget=3)
 
 
-
 @dataclass(frozen=True)
 class JaccardConfig:
     """Links are verified: at least ``threshold`` of the union of two texts' sets of ``shingle``-word shingles is common.
 
     ``bands`` keys of ``rows`` least hashes each bring texts together: of pairs at 0.8, (1 - 0.8 ** 4) ** 24, 3 in a million, share none.
+    Under a key of at most ``small_group`` texts every pair is compared, under a larger one every pair that a filter without loss leaves.
     """
 
     shingle: int = 5
     threshold: Fraction = Fraction(4, 5)
     bands: int = 24
     rows: int = 4
+    small_group: int = 8
 
 
 _LOW = np.uint64(0x0101010101010101)
@@ -374,6 +375,14 @@ def print_pairs(nodes: DataFrame, config: SimHashConfig) -> DataFrame:
     return out
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b, ...)`` of nodes with both shingle sets, ``ha`` and ``hb``, for one pass over it."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = sets.select("node", "hashes").join(written(asked, "asked"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    held = written(held, "held")
+    return pairs.join(held.toDF("a", "ha"), "a").join(held.toDF("b", "hb"), "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
     """Those of ``pairs(a, b)`` (nodes of ``sets``) that reach the threshold."""
 
@@ -383,41 +392,101 @@ def verified(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFr
             yield batch.select([0, 1]).filter(pa.array([jaccard_at_least(p, q, config.threshold) for p, q in zip(x, y)], type=pa.bool_()))
 
     pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
-    held = sets.select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    held = written(held, "held")
-    both = pairs.join(held.toDF("a", "ha"), "a").join(held.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    both = with_sets(pairs, sets).select("a", "b", "ha", "hb")
     return written(both.mapInArrow(run, "a long, b long"), "verified")
 
 
-def banded_pairs(banded: DataFrame, roots: DataFrame, config: JaccardConfig) -> DataFrame:
-    """All pairs ``a, b`` of nodes that share a key, lie in different classes of ``roots(node, root)`` and are not too unlike in size."""
-    named = banded.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    named = written(named, "named")
-    first = written(named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key", "first"), "first")
-    # Of two classes one at least is not the key's first, which is the large one as a rule: only those outside it meet all.
-    all_ = written(named.join(first, "key"), "all")
+def small_group_pairs(members: DataFrame, config: JaccardConfig) -> DataFrame:
+    """All pairs ``a, b`` of different classes under one key, for keys of at most ``small_group`` members."""
     t = config.threshold
-    few = all_.where("root <> first").select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("root").alias("r"))
-    pairs = few.join(all_.select("key", F.col("node").alias("b"), "size", "root"), "key").where("r <> root")
+    open_ = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    own = written(members.join(open_, "key"), "small")
+    other = own.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("r"))
+    pairs = own.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("r")))
     pairs = pairs.where(F.least("n", "size") * t.denominator >= F.greatest("n", "size") * t.numerator)
-    return pairs.select("a", "b")
+    return pairs.select(F.col("node").alias("a"), "b")
+
+
+def differences(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """A row for each shingle ``e`` in which a member's set and its hub's differ: ``hub, node, root, m, need, e``.
+
+    ``members``: ``hub, node, root, hub_root``. With D the difference to the hub, two members reach the threshold just if
+    ``2 * high * |Dx & Dy| >= m(x) + m(y)``, where ``m(x) = high * |Dx| - low * |x|`` and the threshold is (high - low) / (high + low).
+    ``need`` is the least that ``m(x) + m(y)`` can be for a partner y of another class: of a member in the hub's class, y is none of the hub's links.
+    """
+    low, high = config.threshold.denominator - config.threshold.numerator, config.threshold.denominator + config.threshold.numerator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                rows = [[], [], []]
+                for near, h, x in zip(*(part.column(i).to_pylist() for i in (3, 4, 5))):
+                    h, x = np.frombuffer(h, dtype=np.uint64), np.frombuffer(x, dtype=np.uint64)
+                    d = np.setxor1d(h, x, assume_unique=True).view(np.int64)
+                    m = high * len(d) - low * len(x)
+                    need = m + (low * len(h) + 1 if near else high - low - low * len(h))
+                    for col, v in zip(rows, (m, need, d)):
+                        col.append(v)
+                cols = [pa.array(rows[0], type=pa.int64()), pa.array(rows[1], type=pa.int64()), pa.array(rows[2], type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *cols], names=["hub", "node", "root", "m", "need", "d"])
+
+    both = with_sets(members.withColumnsRenamed({"hub": "a", "node": "b"}), sets)
+    both = both.select(F.col("a").alias("hub"), F.col("b").alias("node"), "root", (F.col("root") == F.col("hub_root")).alias("near"), "ha", "hb")
+    got = both.mapInArrow(run, "hub long, node long, root long, m long, need long, d array<long>")
+    return got.select("hub", "node", "root", "m", "need", F.explode("d").alias("e"))
+
+
+def large_group_pairs(members: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Pairs ``a, b`` of different classes under one hub of which none that reaches the threshold is missing; ``members`` as in :func:`differences`.
+
+    Two members of different classes are not both linked to the hub, so they reach the threshold only if they share some of what sets each
+    off from the hub, and often much of it. Those shingles are ordered by how few members have them. A pair must share one among
+    the first ones (prefix filter), with enough left behind it on both sides, so what all members have in common brings no pair together.
+    """
+    low, high = config.threshold.denominator - config.threshold.numerator, config.threshold.denominator + config.threshold.numerator
+    open_ = members.groupBy("hub").agg(F.count("*").alias("n"), F.bool_or(F.col("root") != F.col("hub_root")).alias("o")).where("n > 1 and o").select("hub")
+    each = written(differences(written(members.join(open_, "hub"), "open"), sets, config), "differences")
+    shared = each.groupBy("hub", "e").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1")
+    shared = written(shared.select("hub", "e", "n", "lo", (F.col("lo") != F.col("hi")).alias("mixed")), "shared")
+    listed = each.join(shared, ["hub", "e"]).groupBy("hub", "node").agg(
+        F.max("root").alias("root"), F.max("m").alias("m"), F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("n", "e", "mixed", "lo"))).alias("s")
+    )
+    listed = listed.select("hub", "node", "root", "m", "need", F.size("s").alias("k"), F.posexplode("s").alias("i", "s"))
+    listed = listed.withColumn("rest", (F.col("k") - F.col("i")).cast("long")).where(F.col("s.mixed") & (F.col("rest") * (2 * high) >= F.col("need")))
+    first = written(listed.select("hub", "s.e", "s.lo", "node", "root", "m", "rest"), "first")
+    # Of two classes one at least is not the shingle's first, which is the large one as a rule: only those outside it meet all.
+    few = first.where("root <> lo").drop("lo")
+    other = first.select("hub", "e", F.col("node").alias("b"), F.col("root").alias("r"), F.col("m").alias("n"), F.col("rest").alias("q"))
+    pairs = few.join(other, ["hub", "e"]).where((F.col("root") != F.col("r")) & (F.least("rest", "q") * (2 * high) >= F.col("m") + F.col("n")))
+    return pairs.select(F.col("node").alias("a"), "b")
 
 
 def near_copies(docs: DataFrame, config: SimHashConfig, jaccard: JaccardConfig) -> DataFrame:
     """``doc_id, component_id``: classes by links that are verified on the shingle sets.
 
-    The fingerprints' links, and those of a key's nodes with its least one, come first and join most of a large class. Then
-    all pairs of a key whose classes still differ are verified, so that the classes are those of all pairs that share a key and reach the threshold.
+    The fingerprints' links, and those of a key's nodes with its hub, the node whose keys have most members, come first and join most of a
+    large class. Then the pairs of a key whose classes still differ are verified, all of them in small groups and
+    in large ones all that can reach the threshold, so that the classes are those of all pairs that share a key and reach it.
     """
     sets = written(marks(docs, config, jaccard), "sets")
     nodes = written(sets.drop("doc_id", "hashes").dropDuplicates(["node"]), "nodes")
     banded = nodes.select("node", "size", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    banded = written(banded.join(written(hubs, "hubs"), "key"), "banded")
+    counts = written(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    banded = written(banded.join(counts, "key"), "banded")
+    weights = written(banded.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    weighed = written(banded.join(weights, "node"), "weighed")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    banded = written(weighed.drop("weight").join(written(hubs, "hubs"), "key"), "banded")
     pairs = banded.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     links = verified(pairs.union(print_pairs(nodes, config)), sets, jaccard)
-    rest = banded_pairs(banded.drop("hub"), written(least_reachable(links), "roots"), jaccard)
+    roots = written(least_reachable(links), "roots")
+    named = written(banded.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    own = F.coalesce("hub_root", "hub").alias("hub_root")
+    large = named.where(F.col("n") > jaccard.small_group).where("hub <> node").select("hub", "node", "root").distinct()
+    large = large.join(roots.toDF("hub", "hub_root"), "hub", "left").select("hub", "node", "root", own)
+    rest = small_group_pairs(named.where(F.col("n") <= jaccard.small_group).select("key", "node", "size", "root"), jaccard)
+    rest = rest.union(large_group_pairs(written(large, "large"), sets, jaccard))
     roots = least_reachable(links.union(verified(rest, sets, jaccard)))
     least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "named")
@@ -430,6 +499,7 @@ def without_near_copies(docs: DataFrame, config: SimHashConfig = NEAR_COPIES, ja
 
     Rows with a null doc_id stay, as do repeated rows of the document that stays.
     """
-    keep = near_copies(docs, config, jaccard).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(keep, F.col("doc_id") == F.col("__kept"), "left_semi")
+    kept = free_name(docs, "__kept")
+    keep = near_copies(docs, config, jaccard).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    stay = docs.join(keep, F.col("doc_id") == F.col(kept), "left_semi")
     return stay.union(docs.where("doc_id is null"))

@@ -116,3 +116,42 @@ def test_band_keys_of_long_sets_do_not_depend_on_the_chunk():
     config = simhash.JaccardConfig()
     assert np.array_equal(simhash.band_keys(hashes, config), simhash.band_keys(hashes, config, chunk=100))
     assert len(simhash.band_keys(hashes, config)) == config.bands and not len(simhash.band_keys(hashes[:0], config))
+
+
+def test_classes_of_a_large_group_around_the_threshold_are_those_of_all_pairs(spark):
+    """Two bases, and edits of them by one to many words, some edited again: most links lie near 0.8, most pairs are none."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, copies in ((60, 160), (150, 120)):
+        base = [f"w{size}x{i}" for i in rng.integers(0, 4000, size)]
+        made = [base]
+        for k in range(copies):
+            words = list(base if k % 3 else made[rng.integers(len(made))])
+            for at in rng.integers(0, len(words), 1 + int(rng.integers(0, 8))):
+                words[at] = f"new{rng.integers(0, 30 if k % 2 else 5000)}"
+            made.append(words)
+        rows += [(None, " ".join(words)) for words in made]
+    rows = [(int(i), t) for i, (_, t) in zip(rng.permutation(len(rows)), rows)]
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and alike(sets[i], sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in sets}
+    assert 40 < len(set(want.values())) < len(rows) - 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (8, 2):
+        got = simhash.near_copies(docs, simhash.NEAR_COPIES, simhash.JaccardConfig(small_group=small))
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 2), (2, "a b c", "y", 3)], "doc_id long, text string, __KEPT string, root long")
+    assert [tuple(r) for r in simhash.without_near_copies(docs).collect()] == [(1, "a b c", "x", 2)]
