@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 from chatlake.functions import vocabulary as v
 from chatlake.functions.text import W, matches, replaced, tidy_lines, without_bidi
 
-# A word boundary is written out, since Java's and RE2's \b differ on letters outside ASCII.
+# The patterns that decide what is masked, in RE2's syntax as the SQL counterparts use them. A word boundary of letters is
+# written out, since Java's and RE2's \b differ on letters outside ASCII.
 EMAIL = rf"[{W}][{W}.+-]*@[{W}-]+(?:\.[{W}-]+)*\.[{W}-]*[{W}]"
 _REST = r"[^\s<>\"'\]\)]"
-URL = rf"(?i)\b(?:https?://|www\.){_REST}+|\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|ms|co|dev|tr|me)(?:/{_REST}*)?"
+_ENDINGS = "(?:com|net|org|io|ms|co|dev|tr|me)"
+URL = rf"(?i)\b(?:https?://|www\.){_REST}+|\b(?:[a-z0-9-]+\.)+{_ENDINGS}(?:/{_REST}*)?"
 PHONE = r"(?:\+[0-9]{1,3}[\s\x{a0}.\-]*)?(?:\(?[0-9]{1,4}\)?[\s\x{a0}.\-]*){1,6}[0-9]{2,10}"
 DATE = r"\b[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}\b"
 HANDLE = rf"(?<![{W}./])@[A-Za-z0-9_.]{{3,32}}"
 ROSTER_ROW = r"^\s*\"?[^\t]{1,80}\"?\t+\S+@\S+\s*$"
 CONTACT = r"[^\s<>]+(?:\s+[^\s<>]+){0,3}\s*<\s*\S+@\S+\s*>"
+
+# The same matches for Java, which walks back over groups by recursion and from every start: here groups are possessive, and a start from which
+# an earlier one would have gone the same way is left out.
+#: A run of the local part's characters that is no address and long is taken whole, to be put back as it is; marks before an address too.
+JAVA_EMAIL = rf"[.+-]*+[{W}][{W}.+-]*+@[{W}-]++(?:-*+(?:\.-++(?=\.))*+\.[{W}-]*[{W}])++|[{W}.+-]{{40,}}+"
+#: A host goes on as far as a label that is followed by a listed ending; labels of the same host before it cannot start one again.
+_SAME_HOST = r"(?<!\b[a-z0-9]{1,200}-{0,64}\.?)"
+JAVA_URL = rf"(?i)\b(?:https?://|www\.){_REST}+|\b{_SAME_HOST}(?:(?:[a-z0-9-]++\.(?!{_ENDINGS}))*+[a-z0-9-]++\.(?={_ENDINGS}))++{_ENDINGS}(?:/{_REST}*)?"
+JAVA_CONTACT = r"(?<![^\s<>])[^\s<>]++(?:\s++[^\s<>]++){0,3}+\s*+<\s*\S+@\S+\s*>"
 KINDS = ("roster_row", "contact_card", "official_email", "email", "private_url", "phone", "handle")
 
 
@@ -61,9 +72,10 @@ def is_public_host(host: Column, policy: MaskingPolicy = MaskingPolicy()) -> Col
 
 
 def email_kind(email: Column, policy: MaskingPolicy) -> Column:
+    """The kind of a match of ``JAVA_EMAIL``; null for what stays as it is."""
     domain = F.lower(F.substring_index(email, "@", -1))
     return (
-        F.when(domain.isin(*policy.documentation_domains), F.lit(None).cast("string"))
+        F.when(~F.contains(email, F.lit("@")) | domain.isin(*policy.documentation_domains), F.lit(None).cast("string"))
         .when(_under(domain, policy.official_domains), F.lit("official_email"))
         .otherwise(F.lit("email"))
     )
@@ -97,19 +109,20 @@ def mask_rosters(text: Column) -> Column:
 
 
 def mask_contacts(text: Column) -> Column:
-    return F.when(HINTS["contacts"](text), F.regexp_replace(text, CONTACT, v.ROSTER_MARK.replace("[", r"\[").replace("]", r"\]"))).otherwise(text)
+    return F.when(HINTS["contacts"](text), F.regexp_replace(text, JAVA_CONTACT, v.ROSTER_MARK.replace("[", r"\[").replace("]", r"\]"))).otherwise(text)
 
 
 def mask_emails(text: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column:
     def put(m: Column) -> Column:
-        kind = email_kind(m, policy)
-        return F.when(kind == "email", F.lit(v.EMAIL_MARK)).when(kind == "official_email", F.lit(v.OFFICIAL_EMAIL_MARK)).otherwise(m)
+        kind, before = email_kind(m, policy), F.regexp_extract(m, r"^[.+-]*+", 0)
+        mark = F.when(kind == "email", F.lit(v.EMAIL_MARK)).when(kind == "official_email", F.lit(v.OFFICIAL_EMAIL_MARK))
+        return F.when(mark.isNotNull(), F.concat(before, mark)).otherwise(m)
 
-    return replaced(text, EMAIL, put, HINTS["emails"](text))
+    return replaced(text, JAVA_EMAIL, put, HINTS["emails"](text))
 
 
 def mask_urls(text: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column:
-    return replaced(text, URL, lambda m: F.when(is_public_host(host_of(m), policy), m).otherwise(F.lit(v.URL_MARK)), HINTS["urls"](text))
+    return replaced(text, JAVA_URL, lambda m: F.when(is_public_host(host_of(m), policy), m).otherwise(F.lit(v.URL_MARK)), HINTS["urls"](text))
 
 
 def mask_phones(text: Column) -> Column:
@@ -125,9 +138,9 @@ def masked_steps(policy: MaskingPolicy) -> list[tuple[str, bool, object, object]
     """Name of the step, whether it is on, text after it, counts by kind from the text before it."""
     return [
         ("rosters", policy.rosters, mask_rosters, lambda t: {"roster_row": _counted(F.split(t, "\n", -1), lambda x: x.rlike(ROSTER_ROW))}),
-        ("contacts", policy.rosters, mask_contacts, lambda t: {"contact_card": F.size(matches(t, CONTACT))}),
-        ("emails", policy.emails, lambda t: mask_emails(t, policy), lambda t: {k: _counted(matches(t, EMAIL), _is_kind(k, policy)) for k in ("official_email", "email")}),
-        ("urls", policy.urls, lambda t: mask_urls(t, policy), lambda t: {"private_url": _counted(matches(t, URL), lambda m: ~is_public_host(host_of(m), policy))}),
+        ("contacts", policy.rosters, mask_contacts, lambda t: {"contact_card": F.size(matches(t, JAVA_CONTACT))}),
+        ("emails", policy.emails, lambda t: mask_emails(t, policy), lambda t: {k: _counted(matches(t, JAVA_EMAIL), _is_kind(k, policy)) for k in ("official_email", "email")}),
+        ("urls", policy.urls, lambda t: mask_urls(t, policy), lambda t: {"private_url": _counted(matches(t, JAVA_URL), lambda m: ~is_public_host(host_of(m), policy))}),
         ("phones", policy.phones, mask_phones, lambda t: {"phone": _counted(matches(t, PHONE), is_phone)}),
         (
             "handles", policy.handles, lambda t: mask_handles(t, policy),
