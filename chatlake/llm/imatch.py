@@ -6,10 +6,9 @@ number of distinct terms in a document over the band's lower end, however large
 when its counted size allows and shuffled otherwise.
 
 Every random partition of the lexicon into ``2**bits`` cells contributes its first cells as lexicon subsets; small subsets answer for long
-documents and large ones for short documents. Subset 0 is the whole lexicon. A document's component of a subset hashes its distinct
-terms in that subset: the terms' 64-bit hashes combined by XOR, which gives every order of the same distinct terms, the
-sorted one too, one value. A document without any lexicon term has the hash of all its sorted distinct terms
-as component 0. The fingerprint is the sorted list of (component, subset) words, in hex; the likeness of two fingerprints
+documents and large ones for short documents. Subset 0 is the whole lexicon. A document's component of a subset is the hash of the sorted
+list of its distinct terms in that subset, each term standing as its 64-bit hash. A document without any lexicon term has the
+hash of all its sorted distinct terms as component 0. The fingerprint is the sorted list of (component, subset) words, in hex; the likeness of two fingerprints
 is the share of the subsets that hold a term of either one in which both have the same component.
 
 For pairs of neighbours by falling doc_id, documents are dealt into ranges of doc_id; each range also gets the
@@ -76,9 +75,9 @@ def components(rows: DataFrame, keys: list[str], text: str, words: DataFrame, co
         raise ValueError(f"at most {_SPAN} subsets")
     each = held.withColumn("__j", F.explode(F.array(*subsets))).where("__j is not null")
     first = lambda c: F.when(F.col("__j") == 0, F.col(c)).alias(c)  # noqa: E731  wide columns travel once for each row
-    one = each.select(*keys, "__j", *[first(c) for c in carried], first("__all"), F.when(F.col("__term") != "", F.col("h")).otherwise(0).alias("x"))
-    one = one.groupBy(*keys, "__j", *carried, "__all").agg(F.bit_xor("x").alias("x"))
-    x = F.when((F.col("__j") == 0) & (F.col("x") == 0), F.col("__all")).otherwise(F.xxhash64("x", "__j"))
+    one = each.select(*keys, "__j", *[first(c) for c in carried], first("__all"), F.when(F.col("__term") != "", F.col("h")).alias("x"))
+    one = one.groupBy(*keys, "__j", *carried, "__all").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    x = F.when(F.size("x") == 0, F.col("__all")).otherwise(F.xxhash64("x", "__j"))
     word = F.shiftleft(F.shiftrightunsigned(x, 6), 6).bitwiseOR(F.col("__j").cast("long"))
     return one.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], F.sort_array(F.collect_list(word)).alias("fp"))
 

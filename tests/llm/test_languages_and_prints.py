@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import struct
 import zlib
@@ -34,15 +35,15 @@ def brute_print(text, lexicon, config):
                 places.append(base + cell)
             base += cells
         for j in places:
-            got[j] = got.get(j, 0) ^ h
-    if not got.get(0):
+            got.setdefault(j, []).append(signed(h))
+    if not got:
         seed = 42
         for t in sorted({"", *words}, key=lambda t: t.encode()):
             seed = xx(t, seed)
         got = {0: None}
         words_ = [(seed >> 6 << 6)]
     else:
-        words_ = [xx((j,), xx(signed(x))) >> 6 << 6 | j for j, x in got.items()]
+        words_ = [xx((j,), functools.reduce(lambda seed, h: xx(h, seed), sorted(hs), 42)) >> 6 << 6 | j for j, hs in got.items()]
     return sorted(words_, key=signed)
 
 
