@@ -1,10 +1,10 @@
 """Corpus-wide line dedup with levelled sorted runs of line hashes.
 
 Documents are taken in batches of rising doc_id. A batch's distinct line hashes (combined before the
-shuffle) are merge-joined with the stored runs, which are bucketed and sorted by the hash and are
-never shuffled again. One pass of the join gives both halves: keys that no run holds (the anti-join) become the batch's
-own run on level 0; keys that a run holds are repeats. When a level has ``fanout`` runs they are compacted to
-one run of the next level. As batches rise by doc_id, the first owner of a key is its least doc_id for good.
+shuffle) are merge-joined with the stored runs. A run is bucketed by the hash, one sorted file to a bucket, and is read in that
+order: it is neither shuffled nor sorted again, only the batch is. One pass of the join gives both halves: keys that no run holds (the anti-join)
+become the batch's own run on level 0; keys that a run holds are repeats. When a level has ``fanout`` runs they are compacted to
+one run of the next level by a merge join, bucket by bucket, if a later batch is to read it. As batches rise by doc_id, the first owner of a key is its least doc_id for good.
 
 A key is a line without ASCII white space at its ends and with A-Z lower-cased, known by two independent 64-bit
 hashes. Keys of at least ``min_chars`` code points found in two or more documents lose all their lines but
@@ -29,6 +29,7 @@ from chatlake.llm.common import dropped, fresh_path, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 LAST = (1 << 63) - 1  # the place of a null doc_id
+STORED_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,13 @@ class LineRuns:
 
     def _store(self, df: DataFrame) -> str:
         name, path = f"line_run_{uuid.uuid4().hex}", fresh_path(self.spark, "run")
-        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        # One file to a bucket, as partitions and buckets are the same; Spark then takes the stored order where this setting tells it to.
+        before = self.spark.conf.get(STORED_ORDER, "false")
+        self.spark.conf.set(STORED_ORDER, "true")
+        try:
+            df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        finally:
+            self.spark.conf.set(STORED_ORDER, before)
         table = self.spark.table(name)
         table._chatlake_path = path
         self.paths[name] = table
@@ -67,12 +74,12 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {name}")
         dropped(table)
 
-    def add(self, keys: DataFrame) -> None:
-        """``keys``: ``h1, h2, first, last`` of one batch, a row for each key, later than every batch before."""
+    def add(self, keys: DataFrame, last: bool = False) -> None:
+        """``keys``: ``h1, h2, first, last`` of one batch, a row for each key, later than every batch before. ``last``: none follows."""
         held = keys.withColumn("old", F.lit(None).cast("long"))
         for level in self.levels:
             for run in level:
-                stored = self.spark.table(run).where("not seen").select("h1", "h2", F.col("owner").alias("o"))
+                stored = self._new_keys(run).withColumnRenamed("owner", "o")
                 held = held.join(stored.hint("merge"), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", "o")).drop("o")
         run = self._store(
             held.select(
@@ -82,17 +89,20 @@ class LineRuns:
         )
         self.batches.append(run)
         self.levels[0].append(run)
-        for i in range(len(self.levels)):
+        for i in range(0 if last else len(self.levels)):
             if len(self.levels[i]) >= self.fanout:
                 self._compact(i)
 
+    def _new_keys(self, run: str) -> DataFrame:
+        return self.spark.table(run).where("not seen").select("h1", "h2", "owner")
+
     def _compact(self, i: int) -> None:
         """Merges the runs of level ``i`` to one of level ``i + 1``; their keys differ, so nothing needs comparing."""
-        parts = [self.spark.table(r).where("not seen") for r in self.levels[i]]
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.union(p)
-        merged = merged.withColumn("again", F.lit(False)).repartition(self.buckets, "h1", "h2")
+        merged = self._new_keys(self.levels[i][0])
+        for r in self.levels[i][1:]:
+            other = self._new_keys(r).withColumnRenamed("owner", "o").hint("merge")
+            merged = merged.join(other, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("owner", "o").alias("owner"))
+        merged = merged.select("h1", "h2", "owner", F.lit(False).alias("seen"), F.lit(False).alias("again"))
         if len(self.levels) == i + 1:
             self.levels.append([])
         self.levels[i + 1].append(self._store(merged))
@@ -114,66 +124,63 @@ class LineRuns:
             self._free(name)
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__hash", F.xxhash64("text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` (a struct of all columns, so that no name can clash), ``id, hash``."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("row")["text"], F.lit(""))
 
 
 def dropped_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
-    """``__id, __hash, __gone (array of line numbers from 0)`` for documents that lose lines."""
+    """``id, hash, gone (array of line numbers from 0)`` for documents that lose lines."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id"), F.col("text"))
+    own = docs.select("doc_id", "text")
     cuts = own.stat.approxQuantile("doc_id", [i / config.batches for i in range(1, config.batches)], 0.01) if config.batches > 1 else []
-    batch = sum(((F.col("__id") > F.lit(int(c))).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    lines = _with_key(own).select("__id", "__hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("__at", "line"))
+    batch = sum(((F.col("id") > F.lit(int(c))).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    lines = _keyed(own).select("id", "hash", F.posexplode(F.split(_text(), "\n", -1)).alias("at", "line"))
     lines = lines.withColumn("k", line_key(F.col("line"))).where(F.char_length("k") >= config.min_chars)
-    lines = lines.select("__id", "__hash", "__at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"), batch.alias("batch"))
+    lines = lines.select("id", "hash", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"), batch.alias("batch"))
     path = fresh_path(spark, "lines")
     lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(lines.schema).parquet(path)
     lines._chatlake_path = path
     runs = LineRuns(spark, config.fanout)
-    for i in range(len(set(cuts)) + 1):
-        part = lines.where(F.col("batch") == i)
-        runs.add(part.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")))
-    repeats = written(runs.repeats(), "repeats")
-    runs.close()
+    try:
+        n = len(set(cuts)) + 1
+        for i in range(n):
+            part = lines.where(F.col("batch") == i)
+            runs.add(part.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")), i == n - 1)
+        repeats = written(runs.repeats(), "repeats")
+    finally:
+        runs.close()
     # Plain exchanges on both sides, so that the adaptive skew join can split a line that very many documents hold.
-    gone = lines.join(repeats.hint("merge"), ["h1", "h2"]).where(F.col("__id") > F.col("owner"))
-    gone = written(gone.groupBy("__id", "__hash").agg(F.collect_set("__at").alias("__gone")), "gone")
+    gone = lines.join(repeats.hint("merge"), ["h1", "h2"]).where(F.col("id") > F.col("owner"))
+    gone = written(gone.groupBy("id", "hash").agg(F.collect_set("at").alias("gone")), "gone")
     dropped(lines)
     dropped(repeats)
     return gone
 
 
 def line_dedup(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
-    """All columns of ``docs``, and ``__n_lines long, __n_dropped long, __kept string``."""
-    gone = dropped_lines(docs, config)
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    )
-    joined = _with_key(docs).join(gone, ["__id", "__hash"], "left")
-    return joined.select(
-        *[joined[c] for c in docs.columns],
-        F.size(parts).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
-        kept.alias("__kept"),
-    )
+    """``row`` (a struct of all columns of ``docs``), ``n_lines long, n_dropped long, kept string``."""
+    parts = F.split(_text(), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), _text()).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    joined = _keyed(docs).join(dropped_lines(docs, config), ["id", "hash"], "left")
+    return joined.select("row", F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def line_digest(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
     done = line_dedup(docs.select("doc_id", "text"), config)
-    return done.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256")
-    )
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
     """``docs`` with the lines gone from ``text`` and ``n_chars`` brought up to date where there is one; no row goes."""
-    done = line_dedup(docs, config)
-    new = {"text": F.col("__kept")} | ({"n_chars": F.char_length("__kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = {"text": F.col("kept")} | ({"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return line_dedup(docs, config).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = """
