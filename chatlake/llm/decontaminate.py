@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from chatlake.llm.common import free_name
+
 KEPT = {*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)}
 TABLE = bytes(b if b in KEPT else 32 for b in range(256))
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -162,9 +164,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """``docs``, all columns, without the rows that hold a test item."""
-    out = docs
+    out, found = docs, free_name(docs, "__matches")
     for rows in blocks(benchmark, config):
-        out = out.withColumn("__matches", matcher(docs.sparkSession, rows, config)("text")).where(F.size("__matches") == 0).drop("__matches")
+        out = out.withColumn(found, matcher(docs.sparkSession, rows, config)("text")).where(F.size(found) == 0).drop(found)
     return out
 
 

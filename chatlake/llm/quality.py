@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from chatlake.llm.common import written
+from chatlake.llm.common import free_name, written
 from chatlake.llm.sampling import hash_cut
 
 _TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
@@ -204,4 +204,5 @@ def graded(docs: DataFrame, rated: DataFrame, config: QualityConfig = QualityCon
 def accepted(docs: DataFrame, rated: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """``docs``, all columns, without the rows that the classifier rejects."""
     score = scorer(docs.sparkSession, fit(docs, rated, config), config)
-    return docs.withColumn("__score", score("text")).where(F.col("__score.tail_probability") >= config.accept).drop("__score")
+    at = free_name(docs, "__score")
+    return docs.withColumn(at, score("text")).where(F.col(at)["tail_probability"] >= config.accept).drop(at)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_ONE = 1 << 24  # a total is cost * _ONE + pieces
+_ONE = 1 << 40  # a total is cost * _ONE + pieces, whose number a text in memory cannot reach
 
 
 @dataclass(frozen=True)

@@ -101,3 +101,47 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.contaminated(d, b).count() == 0
     assert decontaminate.contaminated(one, b).count() == 0
     assert decontaminate.without_contaminated(one, b).count() == 1
+
+
+@pytest.mark.parametrize("name", ["__id", "__HASH", "__gone", "__kept", "__n_lines", "__n_dropped", "row", "id", "Hash", "gone", "kept", "__matches", "__MATCHES"])
+def test_stages_keep_columns_of_any_name(spark, name):
+    rows = [(1, "a line of some length\nshort", "x"), (2, "a line of some length\nother", "y"), (3, "one two three four five six", "z")]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
+    done = linededup.without_repeated_lines(docs)
+    assert done.columns == docs.columns
+    assert sorted(map(tuple, done.collect())) == [rows[0], (2, "other", "y"), rows[2]]
+    items = spark.createDataFrame([(1, "two three four five six")], "item_id long, text string")
+    clean = decontaminate.without_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == rows[:2]
+
+
+def test_runs_are_read_in_their_order(spark, monkeypatch):
+    """The stored side of a probe has no exchange and no sort; nothing is compacted after the last batch; no table is left behind."""
+    plans, compacted = [], []
+    store, compact = linededup.LineRuns._store, linededup.LineRuns._compact
+
+    def spy(self, df):
+        spark.conf.set(linededup.STORED_ORDER, "true")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set(linededup.STORED_ORDER, "false")
+        return store(self, df)
+
+    monkeypatch.setattr(linededup.LineRuns, "_store", spy)
+    monkeypatch.setattr(linededup.LineRuns, "_compact", lambda self, i: (compacted.append(i), compact(self, i)))
+    docs = spark.createDataFrame([(i, f"line number {i % 90} of them\nline number {i % 50} of others") for i in range(400)], "doc_id long, text string")
+    linededup.line_digest(docs, linededup.LineDedupConfig(batches=4)).collect()
+    probes = [p for p in plans if "LeftOuter" in p]
+    assert len(probes) == 3 and compacted == [0]
+    for p in probes:
+        assert p.count("Sort [h1") == 1, p  # the batch's own side, once, whatever the number of runs
+        assert p.count("Exchange") == 1, p
+    merges = [p for p in plans if "FullOuter" in p]
+    assert len(merges) == 1 and "Exchange" not in merges[0] and "Sort [h1" not in merges[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_dedup_frees_its_runs_when_it_fails(spark, monkeypatch):
+    monkeypatch.setattr(linededup.LineRuns, "repeats", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        linededup.line_digest(spark.createDataFrame([(1, "some line of text")], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
