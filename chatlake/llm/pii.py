@@ -6,8 +6,8 @@ that follow each other, and between distant tokens with the same or a similar va
 its prefix. Tokens of base spans are observed. Loopy belief propagation passes messages along both kinds of edges, so a document's labels
 agree; tokens that reach ``sure`` and lie in no base span become spans, joined when they follow each other.
 
-The unary and chain potentials are fitted here by pseudo-likelihood on at most ``sample_docs`` documents (those with a digit or ``@`` and the least hash of
-their id), labelled by the patterns; half of the examples hide a token's own shape, so that neighbours count. Tasks are
+All potentials, the skip edges' too, are fitted here by pseudo-likelihood on at most ``sample_docs`` documents (those with a digit or ``@`` and the least hash of
+their id), labelled by the patterns; half of the examples hide a token's own shape, so that its neighbours along both kinds of edges count. Tasks are
 independent, memory is bounded by a document, and whole texts are searched.
 
 Offsets are code points, ends exclusive. Defined results: a null text is an empty one, without spans; repeated rows give equal rows; a
@@ -16,6 +16,7 @@ null doc_id is kept; a corpus without digits and ``@`` has no spans; an empty ta
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import defaultdict
@@ -47,9 +48,7 @@ class PiiConfig:
     sample_docs: int = 3000
     rounds: int = 300
     messages: int = 20
-    sure: float = 0.9
-    sure_alone: float = 0.8  # the same in a document without a base span; measured for false spans, see the README
-    agreement: float = 6.0  # the skip potential of two equal labels other than outside
+    sure: float = 0.6  # measured for false and missed spans, see the README
 
 
 def luhn(digits: str) -> bool:
@@ -131,11 +130,12 @@ def graph_of(text: str, base: list[tuple[str, int, int]]) -> Graph:
         spans.append((a, b))
         features.append(own + near)
         keys.append(_key(word))
-    observed = np.full(len(spans), -1)
-    for kind, a, b in base:
-        for n, (x, y) in enumerate(spans):
-            if x < b and a < y:
-                observed[n] = LABELS.index(kind)
+    observed, ends = np.full(len(spans), -1), [y for _, y in spans]
+    for kind, a, b in base:  # the tokens lie in order and apart: those that a span touches are a run
+        n = bisect.bisect_right(ends, a)
+        while n < len(spans) and spans[n][0] < b:
+            observed[n] = LABELS.index(kind)
+            n += 1
     chain = np.array([(n, n + 1) for n in range(len(places) - 1) if places[n + 1] == places[n] + 1], dtype=np.int64).reshape(-1, 2)
     last: dict[str, int] = {}
     skip = []
@@ -188,8 +188,11 @@ class SkipChainField:
         return p / p.sum(axis=1, keepdims=True)
 
     @classmethod
-    def fit(cls, graphs: list[Graph], rounds: int, agreement: float) -> SkipChainField | None:
-        """Pseudo-likelihood: each token's label given its features and its neighbours' labels; skip edges favour agreement."""
+    def fit(cls, graphs: list[Graph], rounds: int) -> SkipChainField | None:
+        """Pseudo-likelihood: each token's label given its features and the labels of its neighbours before, after and along skip edges.
+
+        What the patterns pass over is outside, but for tokens that share a value with one of a base span: their label is not known, and they are left out.
+        """
         k = len(LABELS)
         names = sorted({f for g in graphs for fs in g.features for f in fs})
         if not names:
@@ -198,19 +201,25 @@ class SkipChainField:
         rows, labels, around = [], [], []
         for g in graphs:
             y = np.maximum(g.observed, 0)
-            near = np.zeros((len(y), 2, k))
-            for a, b in g.chain:
-                near[b, 0, y[a]] += 1
-                near[a, 1, y[b]] += 1
+            near, tied = np.zeros((len(y), 3, k)), g.observed >= 0
+            for a, b in [*g.skip, *g.skip[::-1, ::-1]]:  # the edges of a value follow its tokens' order
+                tied[b] |= tied[a]
+            known = (g.observed >= 0) | ~tied
+            for edges, before, after in ((g.chain, 0, 1), (g.skip, 2, 2)):
+                for a, b in edges:
+                    near[b, before, y[a]] += known[a]
+                    near[a, after, y[b]] += known[b]
             for i, fs in enumerate(g.features):
+                if not known[i]:
+                    continue
                 full = [0, *(index[f] for f in fs)]
-                hidden = [0, *(index[f] for f in fs if f.startswith(("digits:", "letters")))]
+                hidden = [0, *(index[f] for f in fs if f.startswith(("digits:", "dots:", "letters")))]
                 rows += [full, hidden]
                 labels += [y[i], y[i]]
                 around += [near[i], near[i]]
         y, x2 = np.array(labels), np.array(around).reshape(len(labels), -1)
         cols, of = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        w, v = np.zeros((len(names) + 1, k)), np.zeros((2 * k, k))
+        w, v = np.zeros((len(names) + 1, k)), np.zeros((3 * k, k))
         w2, v2, want = np.full_like(w, 1e-3), np.full_like(v, 1e-3), np.eye(k)[y]
         for _ in range(rounds):
             score = x2 @ v
@@ -224,9 +233,8 @@ class SkipChainField:
             v2 += gv * gv
             w += 0.3 * gw / np.sqrt(w2)
             v += 0.3 * gv / np.sqrt(v2)
-        before, after = v.reshape(2, k, k)
-        skip = np.diag([0.0] + [agreement] * (k - 1))
-        return cls(index, w, (before + after.T) / 2, skip)
+        before, after, far = v.reshape(3, k, k)
+        return cls(index, w, (before + after.T) / 2, (far + far.T) / 2)
 
 
 def all_spans(text: str, field: SkipChainField | None, config: PiiConfig) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -237,10 +245,8 @@ def all_spans(text: str, field: SkipChainField | None, config: PiiConfig) -> tup
     g = graph_of(text, base)
     p = field.marginals(g, config.messages)
     best = p.argmax(axis=1)
-    sure = config.sure if base else config.sure_alone
-    free = [n for n in range(len(best)) if g.observed[n] < 0 and best[n] and p[n, best[n]] >= sure]
-    if not base:  # the pattern's check digit decides on cards, so none is left here
-        free = [n for n in free if LABELS[best[n]] != "card"]
+    # The pattern's check digit decides on cards, so the field adds none.
+    free = [n for n in range(len(best)) if g.observed[n] < 0 and best[n] and p[n, best[n]] >= config.sure and LABELS[best[n]] != "card"]
     linked = {(int(a), int(b)) for a, b in g.chain}
     added: list[list] = []
     for n in free:
@@ -258,7 +264,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def fit(docs: DataFrame, config: PiiConfig = PiiConfig()) -> SkipChainField | None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = sorted(t.as_py() for b in batches for t in b.column(0))
-        field = SkipChainField.fit([graph_of(t, base_spans(t)) for t in texts], config.rounds, config.agreement)
+        field = SkipChainField.fit([graph_of(t, base_spans(t)) for t in texts], config.rounds)
         if field:
             cells = [pa.array([list(field.index)], type=pa.list_(pa.string()))]
             cells += [pa.array([m.astype("<f8").tobytes()], type=pa.binary()) for m in (field.unary, field.chain, field.skip)]
