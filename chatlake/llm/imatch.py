@@ -66,20 +66,40 @@ def components(rows: DataFrame, keys: list[str], text: str, words: DataFrame, co
     if words.count() <= config.broadcast_terms:
         words = F.broadcast(words)
     held = exploded.join(words.withColumn("__in", F.lit(True)), "h", "left").where("__in or __term = ''")
-    subsets, base = [F.lit(0)], 1
-    for bits, cells in config.subsets:
-        cell = F.shiftrightunsigned(F.xxhash64("h", F.lit(bits)), 64 - bits).cast("int")
-        subsets.append(F.when((F.col("__term") != "") & (cell < cells), cell + base))
-        base += cells
-    if base > _SPAN:
-        raise ValueError(f"at most {_SPAN} subsets")
-    each = held.withColumn("__j", F.explode(F.array(*subsets))).where("__j is not null")
-    first = lambda c: F.when(F.col("__j") == 0, F.col(c)).alias(c)  # noqa: E731  wide columns travel once for each row
-    one = each.select(*keys, "__j", *[first(c) for c in carried], first("__all"), F.when(F.col("__term") != "", F.col("h")).alias("x"))
-    one = one.groupBy(*keys, "__j", *carried, "__all").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    x = F.when(F.size("x") == 0, F.col("__all")).otherwise(F.xxhash64("x", "__j"))
-    word = F.shiftleft(F.shiftrightunsigned(x, 6), 6).bitwiseOR(F.col("__j").cast("long"))
-    return one.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], F.sort_array(F.collect_list(word)).alias("fp"))
+    whole = F.col("__term") == ""  # once in every row's list; wide columns travel with it alone
+    slim = held.select(*keys, *[F.when(whole, F.col(c)).alias(c) for c in (*carried, "__all")], F.when(~whole, F.col("h")).alias("h"))
+    one = slim.groupBy(*keys).agg(*[F.max(c).alias(c) for c in (*carried, "__all")], F.collect_list("h").alias("__held"))
+    return one.select(*keys, *carried, subset_words(F.col("__held"), F.col("__all"), config).alias("fp"))
+
+
+def subset_words(held: Column, whole: Column, config: IMatchConfig) -> Column:
+    """The sorted component words of the lexicon terms ``held`` (hashes); of ``whole`` alone if there is none."""
+
+    def places(h: Column) -> Column:
+        """(subset, term) for every subset that holds the term."""
+        cells, base = [F.struct(F.lit(0).cast("long").alias("j"), h.alias("h"))], 1
+        for bits, n in config.subsets:
+            cell = F.shiftrightunsigned(F.xxhash64(h, F.lit(bits)), 64 - bits)
+            cells.append(F.when(cell < n, F.struct((cell + base).alias("j"), h.alias("h"))))
+            base += n
+        if base > _SPAN:
+            raise ValueError(f"at most {_SPAN} subsets")
+        return F.filter(F.array(*cells), lambda x: x.isNotNull())
+
+    def word(x: Column, j: Column) -> Column:
+        return F.shiftleft(F.shiftrightunsigned(x, 6), 6).bitwiseOR(j)
+
+    def step(s: Column, t: Column) -> Column:
+        """Goes on with the hash of the subset's list, or begins the next subset's."""
+        same = s["j"] == t["j"]
+        done = F.when(same | (s["j"] < 0), s["done"]).otherwise(F.concat(s["done"], F.array(word(s["x"], s["j"]))))
+        return F.struct(t["j"].alias("j"), F.xxhash64(F.when(same, s["x"]).otherwise(t["j"]), t["h"]).alias("x"), done.alias("done"))
+
+    none = F.lit(-1).cast("long")
+    start = F.struct(none.alias("j"), none.alias("x"), F.array().cast("array<long>").alias("done"))
+    listed = F.sort_array(F.flatten(F.transform(held, places)))  # by subset, then term
+    made = F.aggregate(listed, start, step, lambda s: F.concat(s["done"], F.array(word(s["x"], s["j"]))))
+    return F.when(F.size(held) == 0, F.array(word(whole, F.lit(0).cast("long")))).otherwise(F.sort_array(made))
 
 
 def likeness(a: Column, b: Column) -> Column:

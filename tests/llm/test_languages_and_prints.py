@@ -43,7 +43,7 @@ def brute_print(text, lexicon, config):
         got = {0: None}
         words_ = [(seed >> 6 << 6)]
     else:
-        words_ = [xx((j,), functools.reduce(lambda seed, h: xx(h, seed), sorted(hs), 42)) >> 6 << 6 | j for j, hs in got.items()]
+        words_ = [functools.reduce(lambda x, h: xx(h, xx(signed(x))), sorted(hs), j) >> 6 << 6 | j for j, hs in got.items()]
     return sorted(words_, key=signed)
 
 
