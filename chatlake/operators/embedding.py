@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chatlake.functions.text import words
+from chatlake.sources.shared import materialized
 
 
 def features(tokens: Column) -> Column:
@@ -67,50 +69,80 @@ def normalized(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", most_queries: int = 100_000) -> DataFrame:
+def _tops(q: np.ndarray, s: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Of rows (query, score, key) the places of every query's first ``k`` by falling score, then key."""
+    order = np.lexsort((x, -s, q))
+    q = q[order]
+    first = np.searchsorted(q, q)
+    return order[np.arange(len(q)) - first < k]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A task's ``k`` best (query number, score, key) for each row of ``m``: products in tiles, scores rounded before they are compared."""
+    q, s, x = np.zeros(0, dtype=np.int64), np.zeros(0), None
+    least = np.full(len(m), -np.inf)  # the k-th best score so far
+    for batch in batches:
+        for at in range(0, batch.num_rows, TILE[1]):
+            part = batch.slice(at, TILE[1])
+            names = part.column(0).to_numpy(zero_copy_only=False)
+            v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            x = names[:0] if x is None else x
+            for row in range(0, len(m), TILE[0]):
+                scores = np.round(m[row : row + TILE[0]] @ v.T, DIGITS)
+                n = scores.shape[1]
+                cut = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+                i, j = np.nonzero(scores >= np.maximum(cut, least[row : row + TILE[0]])[:, None])
+                new = _tops(i, scores[i, j], names[j], k)
+                i, j = i[new], j[new]
+                q, s, x = np.concatenate([q, i + row]), np.concatenate([s, scores[i, j]]), np.concatenate([x, names[j]])
+            keep = _tops(q, s, x, k)
+            q, s, x = q[keep], s[keep], x[keep]
+            full = np.flatnonzero(np.bincount(q, minlength=len(m)) >= k)
+            least[full] = s[np.searchsorted(q, full, side="right") - 1]
+    return q, s, np.zeros(0) if x is None else x
+
+
+#: Queries and vectors of one product: 32 MB of scores.
+TILE = (1024, 4096)
+#: Scores that agree to so many digits are ties.
+DIGITS = 9
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", most_queries: int = 8192) -> DataFrame:
     """``query, key, score, rank``: the ``k`` nearest rows of ``vectors(key, vector)`` for each of a stated set of ``queries(query, vector)``.
 
-    The query set is packed into one matrix for the workers, in blocks of at most ``most_queries`` rows. Each task multiplies its
-    batches with it and keeps its own best ``k`` for each query, so a shuffle carries tasks x queries x k rows, not the products.
+    The query set comes to the driver and goes to the workers in blocks of at most ``most_queries`` rows, a pass over the vectors for each. A task
+    keeps its own best ``k`` for each query, so a shuffle carries tasks x queries x k rows, not the products. Scores are rounded to ``DIGITS`` digits,
+    ties go by key, in every task as in the end.
     """
-    rows = sorted(((r[0], r[1]) for r in queries.select(query, "vector").collect()), key=lambda r: str(r[0]))
+    spark = queries.sparkSession
     q_type, k_type = queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     shape = f"{query} {q_type}, {key} {k_type}, score double"
     kinds = [to_arrow_type(queries.schema[query].dataType), to_arrow_type(vectors.schema[key].dataType), pa.float64()]
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], shape + ", rank int")
-    out = None
-    for at in range(0, len(rows), most_queries):
-        block = rows[at : at + most_queries]
-        ids = [r[0] for r in block]
+    order = Window.partitionBy(query).orderBy(F.desc("score"), key)
+
+    def best_of(block: list) -> DataFrame:
         m = np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sent = queries.sparkSession.sparkContext.broadcast((ids, m))
+        sent = spark.sparkContext.broadcast(([r[0] for r in block], m))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, m = sent.value
-            held: pd.DataFrame | None = None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                names = np.array(batch.column(0).to_pylist(), dtype=object)
-                scores = m @ x.T
-                # All ties at the k-th place stay until the final ranking.
-                cut = np.sort(scores, axis=1)[:, -min(k, scores.shape[1])]
-                qi, xi = np.nonzero(scores >= cut[:, None] - 1e-12)
-                part = pd.DataFrame({"q": qi, "x": names[xi], "s": scores[qi, xi]})
-                held = part if held is None else pd.concat([held, part])
-                held = held.sort_values(["q", "s", "x"], ascending=[True, False, True]).groupby("q", sort=False).head(2 * k)
-            if held is not None:
-                cols = [[ids[i] for i in held["q"]], held["x"].tolist(), held["s"].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=[query, key, "score"])
+            q, s, x = _nearest(batches, m, k)
+            cols = [[ids[i] for i in q], x.tolist(), s]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=[query, key, "score"])
 
         found = vectors.select(key, "vector").where(F.col("vector").isNotNull()).mapInArrow(best, shape)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    rows, out = queries.select(query, "vector").where(F.col("vector").isNotNull()).toLocalIterator(), None
+    while block := list(itertools.islice(rows, most_queries)):
+        found = best_of(block)
+        if len(block) == most_queries:  # others may follow: no more than one block is held at a time
+            found = materialized(found, "nearest")
         out = found if out is None else out.union(found)
-    order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return spark.createDataFrame([], shape + ", rank int") if out is None else out
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from chatlake.functions import vocabulary as v
 from chatlake.functions.text import stems
 from chatlake.operators.embedding import HASHING, cosine_topk, embedded
 from chatlake.operators.index import Index, bm25, gate
+from chatlake.sources.shared import materialized
 
 # Scores below which nothing counts as evidence, and the gate's share, by embedding backend; the authority's weights by mode.
 CALIBRATION = {"hashing": (0.10, 0.5), "sentence-transformers": (0.30, 0.5), "foundry-local": (0.30, 0.5)}
@@ -53,12 +54,17 @@ def authority(role: Column, ratio: Column, boost: Column, penalty: Column) -> Co
     return F.when(role == "document", 1.0).otherwise((1 + boost * ratio) * (1 - penalty * (1 - ratio)))
 
 
-def fused(dense: DataFrame, lexical: DataFrame, query: str, key: str, pool: int) -> DataFrame:
-    """``query, key, dense, bm25`` of both candidate lists; a candidate of one list still gets its other score if it has one."""
+def fused(dense: DataFrame, lexical: DataFrame, query: str, key: str, pool: int, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``query, key, dense, bm25`` of both candidate lists; a candidate of one list still gets its other score if it has one.
+
+    ``lookup(pairs)`` gives the lexical scores of the dense candidates without all others; by default they are looked up in ``lexical`` itself.
+    """
     best = Window.partitionBy(query).orderBy(F.desc(F.round("bm25", 9)), key)
-    top = lexical.where("bm25 > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).select(query, key, F.lit(True).alias("listed"))
-    both = dense.select(query, key, F.col("score").alias("dense")).join(top, [query, key], "full_outer")
-    return both.join(lexical, [query, key], "left").select(query, key, F.greatest(F.coalesce("dense", F.lit(0.0)), F.lit(0.0)).alias("dense"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    top = lexical.where("bm25 > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).select(query, key, "bm25")
+    pairs = dense.select(query, key)
+    other = (lookup(pairs) if lookup else lexical.join(pairs.distinct(), [query, key], "left_semi")).select(query, key, F.col("bm25").alias("other"))
+    both = dense.select(query, key, F.col("score").alias("dense")).join(other, [query, key], "left").join(top, [query, key], "full_outer")
+    return both.select(query, key, F.greatest(F.coalesce("dense", F.lit(0.0)), F.lit(0.0)).alias("dense"), F.coalesce("bm25", "other", F.lit(0.0)).alias("bm25"))
 
 
 def scored(candidates: DataFrame, config: RetrievalConfig) -> DataFrame:
@@ -116,7 +122,9 @@ def retrieve(
     asked = queries.where(F.trim("text") != "")
     passed = asked.join(gate(asked, lex, config.max_df_ratio).where("passes"), "query_id", "left_semi")
     dense = cosine_topk(embedded(passed, "query_id", "text", index.backend), index.vectors, config.pool)
-    both = fused(dense, bm25(passed, lex), "query_id", "chunk_id", config.pool)
+    # At most ``pool`` rows for each question, read twice.
+    dense = materialized(dense, "dense")
+    both = fused(dense, bm25(passed, lex), "query_id", "chunk_id", config.pool, lambda pairs: bm25(passed, lex, pairs=pairs))
     latest = index.chunks.agg(F.max("start_time").alias("latest"))
     modes = passed.select("query_id", "mode").join(F.broadcast(weights), "mode", "left").fillna({"boost": config.boost, "penalty": config.penalty}).drop("mode")
     rows = scored(both.join(index.chunks, "chunk_id").join(F.broadcast(latest)).join(modes, "query_id"), config)
@@ -124,7 +132,8 @@ def retrieve(
         rows = rows.where("role = 'instructor'")
     if sources is not None:
         rows = rows.where(F.col("source").isin(*sources))
-    rows = rows.where(F.col("score") >= config.min_score).drop("boost", "penalty", "latest", "bm25", "relevance")
+    # At most twice ``pool`` rows for each question, read for the choice among them and for their columns.
+    rows = materialized(rows.where(F.col("score") >= config.min_score).drop("boost", "penalty", "latest", "bm25", "relevance"), "candidates")
     return rows.join(diversified(rows.select("query_id", "chunk_id", "score", "text"), limit, config=config), ["query_id", "chunk_id"])
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from chatlake.functions import vocabulary as v
 from chatlake.operators import index
 from chatlake.plans.engine import Engine
-from chatlake.sources.settings import Settings
+from chatlake.sources.settings import Settings, confined
 from chatlake.streaming.updates import read_json
 
 
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("chatlake").getOrCreate()
     if args.command == "corpus":
         settings = Settings.load(args.config)
-        made = index.build(spark, args.folder, args.output or settings.index_dir, settings.aliases, allow_hashing=args.allow_hashing, labels=settings.labels)
+        made = index.build(spark, args.folder, confined(args.output, Path("data/index")) if args.output else settings.index_dir, settings.aliases, allow_hashing=args.allow_hashing, labels=settings.labels)
         print(json.dumps(made, ensure_ascii=False))
         return 0
     engine = Engine(spark)

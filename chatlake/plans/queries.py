@@ -13,10 +13,10 @@ from chatlake.functions import vocabulary as v
 from chatlake.operators import answering, chunking, embedding, index, queue, retrieval, topics, triage, workflows
 from chatlake.plans import cases
 from chatlake.plans.sql import (
-    CONTENT_STEMS, any_of, case_of, literal, low, masked_chain, replaced_sql, stems_sql, strip_sql, values,
+    any_of, case_of, literal, low, masked_chain, replaced_sql, stems_sql, strip_sql, values,
 )
 from chatlake.sources import chats, files
-from chatlake.sources.shared import fresh, materialized
+from chatlake.sources.shared import fresh, materialized, spread
 from chatlake.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows  # whole texts take most of the work
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,16 +184,15 @@ def parse_messages(spark, sf_dir):
     return chats.messages(export).select("line_no", kind.alias("sender_kind"), "role", "text", "ts")
 
 
-@query("assemble_multiline", """
+@query("assemble_multiline", f"""
 WITH l AS (SELECT doc_id, pos, parts[pos] AS line, regexp_matches(parts[pos], '^[A-Z][a-z]') AS head FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(generate_series(1, len(parts))) AS pos)),
 g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS message FROM l)
-SELECT doc_id, message::BIGINT AS message, min(pos)::BIGINT AS line_no, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS body_md5 FROM g WHERE message > 0 GROUP BY doc_id, message""")
+SELECT doc_id, min(pos)::INTEGER AS line_no, md5({strip_sql("string_agg(line, chr(10) ORDER BY pos)")}) AS body_md5 FROM g WHERE message > 0 GROUP BY doc_id, message""")
 def assemble_multiline(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("head", F.col("line").rlike("^[A-Z][a-z]"))
-    lines = lines.withColumn("message", F.sum(F.col("head").cast("int")).over(w)).where("message > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("doc_id", "message").agg((F.min("pos") + 1).cast("long").alias("line_no"), F.count("*").alias("n_lines"), F.md5(body.cast("binary")).alias("body_md5"))
+    """The documents as chat exports: a line that begins like a sentence gets a header, the others go on with the message before."""
+    export = F.regexp_replace("text", "(?md)^([A-Z][a-z])", "[01.02.2026 10:00:00] someone: $1")
+    raw = chats.raw_messages(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), export.alias("text")))
+    return raw.select(F.col("source").alias("doc_id"), "line_no", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 @query("render_message", "SELECT event_id, '[' || coalesce(strftime(ts, '%d.%m.%Y %H:%M'), 'tarihsiz') || '] user ' || user_id || ': ' || event_type AS rendered FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts, user_id, event_type FROM events)")
@@ -239,29 +239,52 @@ def chunk_windows_greedy(spark, sf_dir):
     return rows.select("source", "line_no", (F.dense_rank().over(order) - 1).cast("long").alias("window_no"))
 
 
-_SHORT_WINDOWS = _WINDOWS.replace("WHERE role <> 'system'", "WHERE role <> 'system' AND length('[tarihsiz] ' || role || ': ' || text) <= 900")
+def _split_sql(rows: str) -> str:
+    """CTEs for ``WITH RECURSIVE`` from ``whole(k, text)`` to ``pieces(k, n, part)``, n from 1: paragraphs, sentences, hard cuts, packed with an overlap."""
+    strip_all = lambda x: f"list_filter(list_transform({x}, lambda y: {strip_sql('y')}), lambda y: y <> '')"
+    marked = "regexp_replace(para, '([.!?:])\\s+', '\\1' || chr(1), 'g')"
+    return f"""whole AS ({rows}),
+paras AS (SELECT k, p, ps[p] AS para FROM (SELECT k, {strip_all("string_split_regex(text, '\\n\\s*\\n')")} AS ps FROM whole WHERE length(text) > 900), LATERAL (SELECT unnest(generate_series(1, len(ps))) AS p)),
+sents AS (SELECT k, p, s, ss[s] AS sent FROM (SELECT k, p, CASE WHEN length(para) <= 900 THEN [para] ELSE {strip_all(f"string_split({marked}, chr(1))")} END AS ss FROM paras), LATERAL (SELECT unnest(generate_series(1, len(ss))) AS s)),
+units AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p, s, c) AS i, substr(sent, c * 750 + 1, 900) AS u FROM sents, LATERAL (SELECT unnest(generate_series(0, greatest(0, ceil((length(sent) - 900) / 750))::BIGINT)) AS c)),
+last AS (SELECT k, max(i) AS last FROM units GROUP BY k),
+pack AS (
+  SELECT k, i, u AS now, NULL::VARCHAR AS done FROM units WHERE i = 1
+  UNION ALL
+  SELECT t.k, t.i, CASE WHEN length(w.now) + 2 + length(t.u) <= 900 THEN w.now || chr(10) || chr(10) || t.u ELSE {strip_sql("right(w.now, 150) || chr(10) || chr(10) || t.u")} END,
+    CASE WHEN length(w.now) + 2 + length(t.u) <= 900 THEN NULL ELSE w.now END
+  FROM pack w JOIN units t ON t.k = w.k AND t.i = w.i + 1
+),
+pieces AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS n, part FROM (
+    SELECT k, i, done AS part FROM pack WHERE done IS NOT NULL UNION ALL SELECT k, i + 1, now FROM pack JOIN last USING (k) WHERE i = last)
+  UNION ALL SELECT k, 1, text FROM whole WHERE length(text) <= 900
+)"""
+
+
+def _chunk_no(source: str, n: str) -> str:
+    return f"{source} || '#' || CASE WHEN {n} < 10000 THEN lpad({n}::VARCHAR, 4, '0') ELSE {n}::VARCHAR END"
 
 
-@query("chunk_attributes", _SHORT_WINDOWS + """
-SELECT source || '#' || lpad(row_number() OVER (PARTITION BY source ORDER BY win)::VARCHAR, 4, '0') AS chunk_id, role, message_count, instructor_ratio, senders, text FROM (
-  SELECT w.source, w.win, CASE WHEN sum(CASE WHEN m.role = 'assistant' THEN length(m.text) ELSE 0 END) / greatest(sum(length(m.text)), 1) >= 0.5 THEN 'instructor' ELSE 'participant' END AS role,
-    count(*)::INTEGER AS message_count, round(sum(CASE WHEN m.role = 'assistant' THEN length(m.text) ELSE 0 END) / greatest(sum(length(m.text)), 1), 6) AS instructor_ratio,
-    list_distinct(list(m.role ORDER BY w.i)).len()::INTEGER AS senders, string_agg('[tarihsiz] ' || m.role || ': ' || m.text, chr(10) ORDER BY w.i) AS text
-  FROM w JOIN m USING (source, i) WHERE NOT w.long GROUP BY w.source, w.win) WHERE length(text) >= 8""")
-def chunk_attributes(spark, sf_dir):
-    turns = _turns(spark, sf_dir)
-    out = chunking.chunk_messages(turns.where(F.char_length(chunking.rendered(F.col("ts"), F.col("sender"), F.col("text"))) <= 900))
-    return out.select("chunk_id", "role", "message_count", F.round("instructor_ratio", 6).alias("instructor_ratio"), F.size("senders").alias("senders"), "text")
+# The authority's share of a chunk's characters.
+_ROLE_RATIO = "sum(CASE WHEN m.role = 'assistant' THEN length(m.text) ELSE 0 END) / greatest(sum(length(m.text)), 1)"
 
 
-@query("chunk_conversations")
+@query("chunk_conversations", _WINDOWS + ", " + _split_sql("SELECT s.source || chr(0) || s.i AS k, m.text FROM s JOIN m USING (source, i) WHERE s.long") + f"""
+, g AS (SELECT w.source, w.win, min(w.i) AS i, bool_or(w.long) AS long, count(*)::INTEGER AS message_count, {_ROLE_RATIO} AS ratio, list_distinct(list(m.role ORDER BY w.i)).len()::INTEGER AS senders, any_value(m.role) AS sender,
+  string_agg('[tarihsiz] ' || m.role || ': ' || m.text, chr(10) ORDER BY w.i) AS body FROM w JOIN m USING (source, i) GROUP BY w.source, w.win),
+b AS (SELECT source, i, 1 AS n, message_count, ratio, senders, body FROM g WHERE NOT long AND length(body) >= 8
+  UNION ALL SELECT source, i, n, message_count, ratio, senders, sender || ':' || chr(10) || part FROM g JOIN pieces ON k = source || chr(0) || i WHERE long)
+SELECT {_chunk_no('source', 'row_number() OVER (PARTITION BY source ORDER BY i, n)')} AS chunk_id, source, CASE WHEN ratio >= 0.5 THEN 'instructor' ELSE 'participant' END AS role, message_count,
+ round(ratio, 6) AS instructor_ratio, senders, {strip_sql('body')} AS text FROM b""")
 def chunk_conversations(spark, sf_dir):
-    """Chunks of all turns; ``chunk_attributes`` takes the turns that fit in a chunk, as SQL cannot express the splitting of the others."""
     out = chunking.chunk_messages(_turns(spark, sf_dir))
     return out.select("chunk_id", "source", "role", "message_count", F.round("instructor_ratio", 6).alias("instructor_ratio"), F.size("senders").alias("senders"), "text")
 
 
-@query("split_long_text")
+@query("split_long_text", "WITH RECURSIVE " + _split_sql(f"SELECT 'doc' || doc_id AS k, {strip_sql('text')} AS text FROM documents") + f"""
+SELECT {_chunk_no('k', 'n')} AS chunk_id, k AS source, text, coalesce({case_of(low('text'), v.CHUNK_TOPICS.items())}, {case_of(low('k'), v.SOURCE_TOPICS.items())}, 'general') AS category, 'document' AS role
+FROM (SELECT k, n, {strip_sql('part')} AS text FROM pieces) WHERE length(text) >= 8""")
 def split_long_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "text")
     return chunking.chunk_documents(docs).select("chunk_id", "source", "text", "category", "role")
@@ -501,9 +524,9 @@ x AS (SELECT query_id, c.*, bm25, CASE WHEN bm25 > 0 THEN bm25 / (bm25 + 8) ELSE
 
 def _scored(spark, sf_dir):
     docs = _as_chunks(spark, sf_dir)
-    lex = index.bm25(asked(spark, sf_dir), index.lexical(docs, "doc_id"))
-    none = lex.select("query_id", "doc_id", F.lit(0.0).alias("score")).limit(0)
-    both = retrieval.fused(none, lex, "query_id", "doc_id", 30)
+    questions, lex = asked(spark, sf_dir), index.lexical(docs, "doc_id")
+    none = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    both = retrieval.fused(none, index.bm25(questions, lex), "query_id", "doc_id", 30, lambda pairs: index.bm25(questions, lex, pairs=pairs))
     boost, penalty = retrieval.MODE_WEIGHTS[v.QA]
     rows = both.join(docs, "doc_id").join(F.broadcast(docs.agg(F.max("start_time").alias("latest")))).withColumn("boost", F.lit(boost)).withColumn("penalty", F.lit(penalty))
     return retrieval.scored(rows, retrieval.RetrievalConfig())
@@ -543,7 +566,20 @@ def _pool(spark, sf_dir):
     return _scored(spark, sf_dir).where("score >= 0.1").select("query_id", F.col("doc_id").alias("chunk_id"), "score", "text")
 
 
-@query("mmr_select")
+_MMR = _SCORED + f""", pool AS (SELECT query_id, doc_id, round(score, 12) AS score, list_distinct({stems_sql('text')}) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS i
+  FROM (SELECT query_id, doc_id, text, 0.35 * lexical * a * r AS score FROM x) WHERE score >= 0.1),
+near AS (SELECT a.query_id, a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS sim FROM pool a JOIN pool b USING (query_id)),
+sel AS (
+  SELECT query_id, 1 AS place, [doc_id] AS chosen FROM pool WHERE i = 1
+  UNION ALL
+  SELECT query_id, place + 1, list_append(any_value(chosen), first(doc_id ORDER BY v DESC, i)) FROM (
+    SELECT s.query_id, s.place, any_value(s.chosen) AS chosen, p.doc_id, p.i, 0.72 * p.score - (1 - 0.72) * max(n.sim) AS v, max(n.sim) AS sim
+    FROM sel s JOIN pool p ON p.query_id = s.query_id AND NOT list_contains(s.chosen, p.doc_id) JOIN near n ON n.query_id = s.query_id AND n.a = p.doc_id AND list_contains(s.chosen, n.b)
+    WHERE s.place < 6 GROUP BY s.query_id, s.place, p.doc_id, p.i, p.score) WHERE sim < 0.85 GROUP BY query_id, place)
+SELECT query_id, chosen[place] AS chunk_id, place::INTEGER AS place FROM sel"""
+
+
+@query("mmr_select", _MMR.replace("WITH d AS", "WITH RECURSIVE d AS", 1))
 def mmr_select(spark, sf_dir):
     return retrieval.diversified(_pool(spark, sf_dir), 6)
 
@@ -631,15 +667,23 @@ def extractive_answer(spark, sf_dir):
     return answering.extractive(_sentences(spark, sf_dir))
 
 
-@query("index_stats", f"""WITH d AS ({_CHUNK_SQL}) SELECT count(DISTINCT source) AS sources, count(*) AS messages, count(*) FILTER (WHERE role = 'instructor') AS authority_messages, max(start_time) AS latest FROM d""")
+@query("index_stats", """
+WITH m AS (SELECT 'conv' || conv_id AS source, role, text FROM conversations)
+SELECT (SELECT count(*) FROM (SELECT source FROM m UNION SELECT 'doc' || doc_id FROM documents)) AS sources, (SELECT count(*) FROM m) + (SELECT count(*) FROM documents) AS messages,
+ (SELECT count(*) FROM m WHERE role = 'assistant') AS authority_messages, ((SELECT sum(length(text) % 3) FROM m) + (SELECT sum(n) FROM (SELECT count(DISTINCT role) FILTER (WHERE role <> 'assistant') AS n FROM m GROUP BY source))
+  + (SELECT sum(length(text) % 2) FROM documents))::BIGINT AS masked, (SELECT count(*) FROM benchmark) AS chunks""")
 def index_stats(spark, sf_dir):
-    return _as_chunks(spark, sf_dir).agg(F.count_distinct("source").alias("sources"), F.count("*").alias("messages"), F.count_if(F.col("role") == "instructor").alias("authority_messages"), F.max("start_time").alias("latest"))
+    """The totals of an ingest; the counts of masked things are set from the texts' lengths."""
+    counts = lambda n: F.struct(*[(F.char_length("text") % n if k == "email" else F.lit(0)).alias(k) for k in masking.KINDS]).alias("masked_counts")
+    messages = _turns(spark, sf_dir).select("source", "role", "sender", counts(3))
+    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), counts(2))
+    return answering.stats(messages, documents, table(spark, sf_dir, "benchmark")).drop("names")
 
 
 @query("exact_dedup_sha256", "SELECT sha256, doc_id FROM (SELECT sha256(text) AS sha256, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def exact_dedup_sha256(spark, sf_dir):
-    # min() is combined before the shuffle, so a text with very many copies costs one row for each task.
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.distinct_files(rows, "doc_id").select("sha256", "doc_id")
 
 
 @query("ask_questions")
@@ -760,4 +804,3 @@ def _folder_of(spark, sf_dir: str, out: str) -> str:
     return f"{out}/in"
 
 
-assert CONTENT_STEMS

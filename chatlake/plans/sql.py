@@ -8,8 +8,6 @@ from chatlake.functions import masking
 from chatlake.functions import vocabulary as v
 from chatlake.functions.text import W
 
-CONTENT_STEMS = "content stems"
-
 
 def literal(x) -> str:
     if x is None:

@@ -63,9 +63,8 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_files(files: DataFrame, position: str = "path") -> DataFrame:
-    """One file for each content, the first by ``position``."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("__digest").orderBy(position)
-    hashed = files.withColumn("__digest", F.sha2("content", 256))
-    return hashed.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n").withColumnRenamed("__digest", "sha256")
+    """One file for each content, the first by ``position``, with its ``sha256``."""
+    hashed = files.withColumn("sha256", F.sha2("content", 256))
+    # min() is combined before the shuffle, so a content with very many copies costs one row for each task.
+    first = hashed.groupBy("sha256").agg(F.min(position).alias(position))
+    return hashed.join(first, ["sha256", position], "left_semi")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 
-def _confined(value: object, root: Path) -> str:
+def confined(value: object, root: Path) -> str:
     if not isinstance(value, str) or not value.strip():
         raise ValueError("a path is missing")
     at = (root / value).resolve() if not Path(value).is_absolute() else Path(value).resolve()
@@ -38,4 +38,4 @@ class Settings:
         if not isinstance(labels, dict) or not all(isinstance(k, str) and isinstance(x, str) for k, x in labels.items()):
             raise ValueError("labels must map names to names")
         at = Path(root)
-        return cls(tuple(a.strip() for a in aliases), tuple(ids), dict(labels), _confined(raw.get("index_dir"), at), _confined(raw.get("queue_db"), at))
+        return cls(tuple(a.strip() for a in aliases), tuple(ids), dict(labels), confined(raw.get("index_dir"), at), confined(raw.get("queue_db"), at))

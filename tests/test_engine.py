@@ -300,3 +300,74 @@ def test_keyed_state_machine_over_restarts(spark, tmp_path):
 def test_offsets_follow_the_last_update():
     assert updates.next_offset([7, 900, 3], silent=False) == 4
     assert updates.next_offset([], silent=False) is None and updates.next_offset([5], silent=True) is None
+
+
+def test_equal_vectors_in_many_tasks_rank_by_key(spark):
+    same = [0.3] * 8
+    rows = spark.createDataFrame([(i, same) for i in range(10_000)], "chunk_id long, vector array<double>").repartition(7)
+    asked = spark.createDataFrame([(q, [float(q + j) for j in range(8)]) for q in range(30)], "query_id long, vector array<double>")
+    for most in (8192, 7):
+        got = embedding.cosine_topk(asked, rows, 5, most_queries=most).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.chunk_id, r["rank"]) for r in got] == [(q, i, i + 1) for q in range(30) for i in range(5)]
+
+
+def test_nearest_holds_tiles_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    m = np.random.default_rng(0).normal(size=(20_000, 16))
+    x = np.random.default_rng(1).normal(size=(6_000, 16))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 3000)), pa.array(x[k : k + 3000].tolist())], names=["k", "v"]) for k in (0, 3000)]
+    tracemalloc.start()
+    q, s, keys = embedding._nearest(iter(batches), m, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and len(q) == 3 * len(m)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 20_000, 997):
+        want = np.lexsort((np.arange(len(x)), -np.round(unit @ m[i], 9)))[:3]
+        assert keys[q == i].tolist() == want.tolist()
+
+
+def test_questions_after_the_first_build_no_postings(spark, tmp_path, monkeypatch):
+    from chatlake.operators import index as module
+
+    chunks = spark.createDataFrame(
+        [(f"s#{i}", f"teslim linki github deposu sunum {i}", "s", "instructor", [], None, None, 1, 1.0, "submission") for i in range(6)],
+        "chunk_id string, text string, source string, role string, senders array<string>, start_time timestamp_ntz, end_time timestamp_ntz, message_count int, instructor_ratio double, category string",
+    )
+    stats = spark.createDataFrame([("s", 6, 6, 0)], "source string, messages long, authority_messages long, masked long")
+    module.publish(spark, str(tmp_path / "at"), chunks, embedding.HASHING, (), module.MaskingPolicy(), stats, [])
+    made = []
+    monkeypatch.setattr(module, "postings", lambda *a, **k: made.append(1) or 1 / 0)
+    loaded = module.load(spark, str(tmp_path / "at"))
+    question = spark.createDataFrame([(1, "teslim linki nerede", "qa")], "query_id int, text string, mode string")
+    for _ in range(2):
+        assert index.bm25(question, loaded.texts, "query_id").count() == 6
+    assert not made and loaded.texts is loaded.texts
+
+
+def test_a_failing_generator_leaves_the_extractive_answers(spark):
+    from chatlake.operators import answering
+
+    quotes = spark.createDataFrame([(1, "Teslim nasıl yapılır?", 1, "Teslim için GitHub linki e-posta ile gönderilir ve sunum eklenir.", "qa", "s", "instructor")], "query_id int, question string, citation int, text string, mode string, source string, role string")
+    want = answering.extractive(answering.sentences(quotes)).collect()
+
+    def broken(rows):
+        fail = F.udf(lambda x: 1 / 0, "string")
+        return rows.select("query_id", fail("text").alias("answer"))
+
+    got, by = answering.answered(quotes, broken)
+    assert by is None and got.collect() == want
+    got, by = answering.answered(quotes, lambda rows: rows.select("query_id", F.lit("cevap [1]").alias("answer")))
+    assert by is not None and [r.answer for r in got.collect()] == ["cevap [1]"]
+
+
+def test_an_output_outside_the_index_folder_is_refused(tmp_path):
+    from chatlake.sources.settings import confined
+
+    assert confined(str(tmp_path / "a"), tmp_path) == str(tmp_path / "a")
+    for bad in ("", "..", str(tmp_path), "/etc"):
+        with pytest.raises(ValueError):
+            confined(bad, tmp_path)
