@@ -9,8 +9,8 @@ miss the whole sketch, so probing a document's shingle hashes for sketch values
 contaminated document however long it is; symmetric signatures would lose short items inside long documents. Candidates
 are then verified on the shingles' words.
 
-The index of the items is the only broadcast data. It is cut into blocks of at most ``block_hashes`` shingles (or one item),
-and documents are searched once for each block; all but a very large benchmark are one block.
+The index of a benchmark of at most ``block_hashes`` words is broadcast, and documents are searched in one pass without a shuffle. A larger
+benchmark stays distributed: the documents' shingle hashes, distinct in each document, are joined with the items' sketches, and the candidates with both texts.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters of the lower-cased text.
 
@@ -22,6 +22,7 @@ through the filter.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from chatlake.llm.common import free_name
+from chatlake.llm.common import free_name, written
 
 KEPT = {*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)}
 TABLE = bytes(b if b in KEPT else 32 for b in range(256))
@@ -90,8 +91,7 @@ class Index:
         self.items = [x for x in (Item(i, t, config.shingle) for i, t in rows) if x.size]
         by_size = defaultdict(list)
         for at, x in enumerate(self.items):
-            k = int((1 - self.need) * size_class(len(x.hashes))) + 1
-            by_size[x.size] += [(h, at) for h in x.hashes[:k].tolist()]
+            by_size[x.size] += [(h, at) for h in sketch(x, config).tolist()]
         self.parts = {}
         for size, got in sorted(by_size.items()):
             got.sort()
@@ -124,16 +124,71 @@ class Index:
         return sorted(out, key=lambda m: m["item_id"])
 
 
-def blocks(benchmark: DataFrame, config: DecontaminationConfig):
-    """The items in lists that hold at most ``block_hashes`` words each, or one item."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-int(total) // (config.block_hashes * 4)))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        got = [(r.i, r.t) for r in part.collect()]
-        if got:
-            yield got
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+
+
+def small_benchmark(benchmark: DataFrame, config: DecontaminationConfig) -> list[tuple[int, str]] | None:
+    """The items, if they have at most ``block_hashes`` words (of four bytes); else None."""
+    rows = items_of(benchmark)
+    if (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > 4 * config.block_hashes:
+        return None
+    return [(r.i, r.t) for r in rows.collect()]
+
+
+def sketch(x: Item, config: DecontaminationConfig) -> np.ndarray:
+    """The item's least shingle hashes, as many as its size class needs."""
+    return x.hashes[: int((1 - Fraction(config.threshold)) * size_class(len(x.hashes))) + 1]
+
+
+def shuffled_matches(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig) -> DataFrame:
+    """``d, k, item_id, n_shingles, n_found`` for a large benchmark: d is a doc_id, k a hash of the text, which name a document's equal rows together."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                made = [(Item(i, t, config.shingle), t) for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns))]
+                made = [(x, t, sketch(x, config)) for x, t in made if x.size]
+                hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(h for *_, h in made)]).view(np.int64)
+                n = [len(h) for *_, h in made]
+                cols = [np.repeat([x.item_id for x, *_ in made], n), np.repeat([x.size for x, *_ in made], n), hashes]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64()))], names=["i", "size", "h"])
+
+    items = items_of(benchmark)
+    sketches = written(items.mapInArrow(sketched, "i long, size int, h long"), "sketches")
+    sizes = sorted(r[0] for r in sketches.select("size").distinct().collect())  # at most ``shingle`` numbers
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                hashes = word_hashes(words_of(batch.column(2)[row].as_py()))
+                for size in sizes:
+                    own = np.unique(shingle_hashes(hashes, size)).view(np.int64)
+                    for at in range(0, len(own), 1 << 16):
+                        h = pa.array(own[at : at + (1 << 16)])
+                        whole = [pa.repeat(pa.scalar(batch.column(c)[row].as_py(), pa.int64()), len(h)) for c in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*whole, pa.repeat(pa.scalar(size, pa.int32()), len(h)), h], names=["d", "k", "size", "h"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
+    probes = written(own.mapInArrow(shingled, "d long, k long, size int, h long"), "probes")
+    found = written(probes.join(sketches, ["size", "h"]).select("d", "k", "i").distinct(), "candidates")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, k, i, t, text in zip(*(c.to_pylist() for c in batch.columns)):
+                x, words = Item(i, t, config.shingle), words_of(text)
+                held = len(x.shingles & {tuple(words[n : n + x.size]) for n in range(len(words) - x.size + 1)})
+                if held >= Fraction(config.threshold) * len(x.shingles):
+                    rows.append((d, k, i, len(x.shingles), held))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            cols = [pa.array(c, type=kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "k", "item_id", "n_shingles", "n_found"])
+
+    # An id may name several texts, and items repeat: each pair of texts is verified.
+    texts = own.withColumnsRenamed({"d": "e", "k": "l"}).dropDuplicates(["e", "l"])
+    both = found.join(texts, F.col("d").eqNullSafe(F.col("e")) & (F.col("k") == F.col("l"))).join(items, "i").select("d", "k", "i", "t", "text")
+    return both.mapInArrow(verified, "d long, k long, item_id long, n_shingles int, n_found int")
 
 
 def matcher(spark, rows: list[tuple[int, str]], config: DecontaminationConfig):
@@ -151,23 +206,26 @@ def matcher(spark, rows: list[tuple[int, str]], config: DecontaminationConfig):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """Pairs ``doc_id, item_id, n_shingles, n_found, containment``, whole."""
-    out = None
-    own = docs.select("doc_id", "text")
-    for rows in blocks(benchmark, config):
-        found = own.select("doc_id", matcher(docs.sparkSession, rows, config)("text").alias("m"))
+    rows = small_benchmark(benchmark, config)
+    if rows is not None:
+        found = docs.select("doc_id", matcher(docs.sparkSession, rows, config)("text").alias("m"))
         found = found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = own.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found")).limit(0)
-    return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    else:
+        own = docs.select("doc_id", F.xxhash64("text").alias("l"))
+        found = own.join(shuffled_matches(docs, benchmark, config), F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("k") == F.col("l")))
+        found = found.select("doc_id", "item_id", "n_shingles", "n_found")
+    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """``docs``, all columns, without the rows that hold a test item."""
-    out, found = docs, free_name(docs, "__matches")
-    for rows in blocks(benchmark, config):
-        out = out.withColumn(found, matcher(docs.sparkSession, rows, config)("text")).where(F.size(found) == 0).drop(found)
-    return out
+    rows = small_benchmark(benchmark, config)
+    if rows is not None:
+        found = free_name(docs, "__matches")
+        return docs.withColumn(found, matcher(docs.sparkSession, rows, config)("text")).where(F.size(found) == 0).drop(found)
+    key, text = free_name(docs, "__d"), free_name(docs, "__k")
+    bad = shuffled_matches(docs, benchmark, config).select(F.col("d").alias(key), F.col("k").alias(text)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 ORACLE = """

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chatlake.llm import binary, decontaminate, imatch, langid, linededup, packing, pii, quality, simhash, tokencount
+from chatlake.sources.shared import spread
 
 SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The whole table, dealt over all cores if its files have fewer row groups than that."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing operator over instruction data, where the limit on loss-bearing tokens binds."""
+    return packing.packed_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints_with_edits(documents(spark, sf_dir))
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
+    "packed_conversations": packed_conversations,
     "op5_imatch": op5_imatch,
     "op6_language": op6_language,
     "op7_token_binary": op7_token_binary,

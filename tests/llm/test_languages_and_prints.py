@@ -119,3 +119,46 @@ def test_language_edges(spark):
     none = langid.languages(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang is null or lang = ''").selectExpr("doc_id", "text", "cast(null as string) lang")).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
     assert langid.languages(docs.limit(0)).count() == 0
+
+
+def brute_grams(text, bits):
+    """Hashed places of a text's 1-, 2- and 3-grams, straight from the docstring: runs of letters with one blank (0) between, 0 at both ends."""
+    low = (text or "").lower()
+    runs = regex.findall(r"[\p{L}]+", low)
+    if not runs:
+        return None
+    points = [0]
+    for i, run in enumerate(runs):
+        points += [0] * (i > 0) + [ord(c) for c in run]
+    points += [0] if low[-1].isalpha() else [0, 0]
+    grams = [p + (1 << 63) for p in points if p]
+    grams += [(a << 21 | b) + (1 << 62) for a, b in zip(points, points[1:])]
+    grams += [((a << 21 | b) + 0) << 21 | c for a, b, c in zip(points, points[1:], points[2:])]
+    return Counter(((g & (1 << 64) - 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - bits) for g in grams)
+
+
+def test_nearest_centroid_equals_brute_force(spark):
+    """The fitted centroids kept as they are: frequencies, vectors, cosines, nearest language and score worked out term by term."""
+    import math
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(900001, None, "en"), (900002, "123 !", "en"), (900003, "Ünïcode straße", None), (900004, "a", None), (900005, "der die und " * 4000 + "?", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = langid.LanguageConfig()
+    model = langid.fit(docs, config)
+    grams = {d: brute_grams(t, config.dims_bits) for d, t, _ in rows}
+    train = [d for d, t, lang in rows if lang is not None and zlib.crc32(str(d).encode()) % 5 and grams[d]]
+    df = Counter(at for d in train for at in grams[d])
+    idf = {at: math.log((1 + len(train)) / (1 + k)) + 0.05 for at, k in df.items()}
+    got = {r.doc_id: r for r in langid.languages(docs, config).collect()}
+    for d, t, _ in rows:
+        if not grams[d]:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        v = {at: (1 + math.log(c)) * idf.get(at, math.log(1 + len(train))) for at, c in grams[d].items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        sims = [sum(x * float(c[at]) for at, x in v.items()) / length for c in model.centres]
+        assert abs(got[d].score - min(1, max(0, max(sims)))) < 1e-4
+        near = {lang for lang, s in zip(model.langs, sims) if s > max(sims) - 1e-4}
+        assert got[d].lang_pred in near
+    assert {len([x for x in model.langs if x == lang]) for lang in model.langs} <= {1, 2, 3}

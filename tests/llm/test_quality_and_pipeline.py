@@ -170,3 +170,36 @@ def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf001):
                     todo += [e for e in sets if e not in seen and 5 * len(sets[x] & sets[e]) >= 4 * len(sets[x] | sets[e])]
     assert {900_001, 900_002, 900_003, 900_004} <= want
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf001).collect()} == want
+
+
+def test_grades_and_tails_equal_brute_force(spark):
+    """The fitted weights and thresholds kept as they are: scores, grade probabilities, expectation and tail worked out one by one."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "word " * 30_000), (900004, "  \n ")], "doc_id long, text string")
+    docs = docs.union(extra)
+    rated = quality.ratings(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    config = quality.QualityConfig()
+    model = quality.fit(docs, rated, config)
+    assert all(a <= b for a, b in zip(model.thresholds, model.thresholds[1:])) and len(model.thresholds) == config.grades - 1
+    text = dict(docs.collect())
+    for r in quality.graded(docs, rated, config).collect():
+        used = quality.feature_ids(text[r.doc_id], config.bits)
+        if not len(used):
+            assert (r.expected_grade, r.tail_probability) == (0.0, 0.0)
+            continue
+        score = sum(float(model.weights[i]) for i in used)
+        at_most = [1 / (1 + math.exp(-max(-40, min(40, t - score)))) for t in model.thresholds] + [1.0]
+        chance = [b - a for a, b in zip([0.0, *at_most], at_most)]
+        assert min(chance) >= 0 and abs(sum(chance) - 1) < 1e-9
+        assert abs(r.expected_grade - sum(k * p for k, p in enumerate(chance))) < 1e-6 and abs(r.tail_probability - chance[-1]) < 1e-6
+        assert r.accepted == (r.tail_probability >= config.accept)
+
+
+@pytest.mark.parametrize("name", ["__score", "__SCORE", "tail_probability"])
+def test_accepted_keeps_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "good words here", "x"), (2, None, "y")], f"doc_id long, text string, {name} string")
+    rated = spark.createDataFrame([], "doc_id long, grade int")
+    out = quality.accepted(docs, rated)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "good words here", "x")]

@@ -196,3 +196,20 @@ def test_token_counts_equal_brute_force(spark):
                     kept[w] = brute_count(model, w)
             want.append((r.doc_id, len(words), sum(kept[w] for w in words)))
         assert got == sorted(want, key=str)
+
+
+def test_both_tokenizers_agree_on_every_plain_character():
+    """Ids of the fast library against the file's own, over random texts of all characters that the fast one takes, alone and in runs."""
+    import random
+
+    from chatlake.llm import tokens
+
+    tok = tokens.tokenizer(tokens.default_path())
+    plain = [chr(i) for i in range(0x2100) if not tokens._PLAIN.search(chr(i))]
+    assert len(plain) > 500
+    rng = random.Random(9)
+    texts = [*plain, *(c * 3 for c in plain), *(f"a{c} {c}b\n{c}{c} 1{c}" for c in plain)]
+    texts += ["".join(rng.choices(plain, k=rng.randint(2, 60))) for _ in range(6000)]
+    texts += ["".join(rng.choice(("'s", "'LL", " ", "  ", "\n\n", "\t", "Éa", "12", "\u2026", "\u20ac", "x\u2019", "\xa0", "word", ".")) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    for text in texts:
+        assert tok.fast.encode_ordinary(text) == tok.exact.encode(text, add_special_tokens=False).ids, repr(text)
