@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatlake.functions import vocabulary as v
-from chatlake.functions.text import W, matches, replaced, tidy_lines, without_bidi
+from chatlake.functions.text import W, matches, replaced, tidy_lines, usual_forms, without_bidi
 
 # The patterns that decide what is masked, in RE2's syntax as the SQL counterparts use them. A word boundary of letters is
 # written out, since Java's and RE2's \b differ on letters outside ASCII.
@@ -178,7 +178,7 @@ def total_of(counts: str) -> Column:
 def pseudonym(sender: Column, policy: MaskingPolicy = MaskingPolicy()) -> Column:
     if not policy.senders:
         return sender
-    name = F.lower(F.trim(without_bidi(sender)))
+    name = F.lower(F.trim(usual_forms(without_bidi(sender))))
     return F.concat(F.lit("Katılımcı#"), F.substring(F.sha2(F.concat(F.lit(policy.salt + ":"), name), 256), 1, 4))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -12,8 +13,25 @@ from chatlake.functions.vocabulary import BIDI, STOPWORDS
 
 #: A word character in the sense of Unicode letters, digits and the underscore, in Java's and RE2's syntax alike.
 W = r"\p{L}\p{N}_"
-_MARKED = "çÇğĞıİöÖşŞüÜâÂîÎûÛáÁàÀäÄãÃåÅéÉèÈêÊëËíÍìÌïÏóÓòÒôÔõÕúÚùÙñÑ"
-_PLAIN = "cCgGiioOsSuUaAiIuUaAaAaAaAaAeEeEeEeEiIiIiIoOoOoOoOuUuUnN"
+
+
+def _letters(form: str, drop_marks: bool) -> dict[str, str]:
+    """Every character of the basic plane that Unicode's ``form`` turns into one other character."""
+    table = {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
+        to = unicodedata.normalize(form, c)
+        if drop_marks:
+            to = "".join(x for x in to if not unicodedata.combining(x))
+        if len(to) == 1 and to != c:
+            table[c] = to
+    return table
+
+
+_FOLDED = {**_letters("NFKD", True), "ı": "i", "İ": "i"}
+#: ``translate`` arguments: marked letters to plain ones; combining marks, which stand last and have no counterpart, go.
+_MARKED, _PLAIN = "".join(_FOLDED) + "".join(map(chr, range(0x300, 0x370))), "".join(_FOLDED.values())
+#: Compatibility forms (full-width letters, hard blanks) to the usual ones.
+_FORMS = _letters("NFKC", False)
 
 
 def lower_tr(text: Column) -> Column:
@@ -32,10 +50,15 @@ def plain_name(text: Column) -> Column:
 
 def plain_name_value(text: str) -> str:
     """:func:`plain_name` of a literal."""
-    table = str.maketrans(_MARKED, _PLAIN, BIDI)
+    table = str.maketrans(_MARKED[: len(_PLAIN)], _PLAIN, _MARKED[len(_PLAIN) :] + BIDI)
     return " ".join(text.translate(table).split()).lower()
 
 
+def usual_forms(text: Column) -> Column:
+    """Compatibility characters as the usual ones, so that look-alikes are equal."""
+    return F.translate(text, "".join(_FORMS), "".join(_FORMS.values()))
+
+
 def tidy_lines(text: Column) -> Column:
     """Exotic blanks to plain ones, runs of blanks to one, each line and the whole trimmed."""
     plain = F.regexp_replace(F.translate(text, "\u00a0\u202f\u2007", "   "), r"[ \t]+", " ")

@@ -175,3 +175,28 @@ ACTION_WORDS = ("edin", "atın", "gönderin", "kontrol edin", "yükleyin", "koyu
 WEAK_STEMS = ("gerek", "olmal", "lazım", "nedir", "nasil", "nasıl")
 ANECDOTE = r"^[\"“]|→|çekmedim|yapmadım|atmadım|repom hazır|durdurayım"
 COVERAGE_WORDS = ("github", "source", "kaynak kod", "video", "e-posta", "e-mail", "whatsapp")
+SECTIONS = ("Kısa cevap:\n", "\n\nNe yapmalısın:\n", "\n\nKaynaklara göre kanıt:\n", "\n\nKaynaklar:\n")
+NO_SENTENCE = (
+    "Kısa cevap:\nKaynaklarda bu soruya doğrudan karşılık gelen bir cümle bulamadım.\n\nNe yapmalısın:\n- Aşağıdaki kaynak parçalarını kendin inceleyebilirsin.\n\n"
+    "Kaynaklara göre kanıt:\n- Kaynaklarda doğrudan alıntılanacak bir cümle yok.\n\nKaynaklar:\n"
+)
+NOTE_TITLE = "\n\n**Kaynaklara göre not**\n"
+NO_RULE_SOURCE = "\n\n_Not: İndekste bu kuralları içeren kaynak bulunamadı; yukarıdaki maddeler program kurallarından türetilmiştir._"
+LOW_RULE_NOTE = "\n\n_Bu konu kaynaklarda net değil; kurallar program özetinden, notlar ise en yakın eşleşmelerden üretildi._"
+MISSING_LABELS = {"full_name": "ad-soyad", "email": "e-posta", "requested_change": "istenen değişiklik"}
+NOTHING_MISSING = "yok, istek eksiksiz görünüyor"
+CORRECTION_DOUBT = "Kaynaklarda bu düzeltme kuralı net değil. "
+CORRECTION_CARD = (
+    "**Bu bir düzeltme isteği**\n- Asistan listeyi değiştiremez; düzeltme otomatik olarak uygulanmaz.\n- Değişikliği yalnızca eğitmen yapabilir, yani insan onayı gerekir.\n"
+    "- İsteği e-posta ile gönder; WhatsApp mesajı tek başına yeterli değil.\n- Eksik bilgi: ",
+    "\n\n**Yapılandırılmış çıktı**\n```json\n", "\n```\n\n**E-posta taslağı (gönderilmedi, sadece öneri)**\n```\n", "\n```",
+)
+CHECKLIST_TEXT = {
+    "ready": "**Hazır olanlar**\n", "none_ready": "- (henüz yok)", "missing": "\n\n**Eksikler**\n", "none_missing": "- Zorunlu bir eksik görünmüyor.",
+    "unknown": "\n\n**Mesajından anlaşılmayanlar**\n", "steps": "\n\n**Önerilen sonraki adımlar**\n",
+}
+EMAIL_NAME, EMAIL_ADDRESSES = "<Ad Soyad>", ("<kayıtlı e-posta adresin>", "<e-posta adresin>")
+EMAIL_DRAFT = (
+    "Konu: Summer School listesi düzeltme isteği\n\nMerhaba Hocam,\n\nListedeki kaydımın güncellenmesini rica ediyorum. Ad Soyad: ", ", E-posta: ", "\n\nTeşekkür ederim,\n",
+)
+EMAIL_LINES = (("Proje", "project"), ("Dil", "language"), ("Devam durumu", "status"))

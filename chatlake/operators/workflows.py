@@ -52,11 +52,11 @@ def checklist(df: DataFrame, text: str = "text", items=v.CHECKLIST_ITEMS) -> Dat
 def checklist_text() -> Column:
     """The checklist's columns as one text."""
     bullets = lambda c, none: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit(none))
-    unknown = F.when(F.size("unknown") > 0, F.concat(F.lit("\n\n**Mesajından anlaşılmayanlar**\n"), bullets(F.col("unknown"), ""))).otherwise(F.lit(""))
+    unknown = F.when(F.size("unknown") > 0, F.concat(F.lit(v.CHECKLIST_TEXT["unknown"]), bullets(F.col("unknown"), ""))).otherwise(F.lit(""))
     steps = F.array_join(F.transform("next_steps", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
     return F.concat(
-        F.lit("**Hazır olanlar**\n"), bullets(F.col("ready"), "- (henüz yok)"), F.lit("\n\n**Eksikler**\n"), bullets(F.col("missing"), "- Zorunlu bir eksik görünmüyor."), unknown,
-        F.lit("\n\n**Önerilen sonraki adımlar**\n"), steps,
+        F.lit(v.CHECKLIST_TEXT["ready"]), bullets(F.col("ready"), v.CHECKLIST_TEXT["none_ready"]), F.lit(v.CHECKLIST_TEXT["missing"]),
+        bullets(F.col("missing"), v.CHECKLIST_TEXT["none_missing"]), unknown, F.lit(v.CHECKLIST_TEXT["steps"]), steps,
     )
 
 
@@ -102,11 +102,11 @@ def correction(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("missing_info", missing).withColumn("detected", F.map_filter(pairs, lambda k, x: x.isNotNull()))
     n = F.size("missing_info")
     advice = F.when(n > 0, F.concat(F.lit(v.ADVICE_MISSING[0]), F.array_join("missing_info", ", "), F.lit(v.ADVICE_MISSING[1]))).otherwise(F.lit(v.ADVICE_CLEAR))
-    name, address = F.coalesce("__name", F.lit("<Ad Soyad>")), F.when(has("email"), "<kayıtlı e-posta adresin>").otherwise("<e-posta adresin>")
+    name, address = F.coalesce("__name", F.lit(v.EMAIL_NAME)), F.when(has("email"), v.EMAIL_ADDRESSES[0]).otherwise(v.EMAIL_ADDRESSES[1])
     line = lambda title, c: F.when(has(c), F.concat(F.lit(f"\n{title}: "), F.col(f"__{c}"))).otherwise(F.lit(""))
     email = F.concat(
-        F.lit("Konu: Summer School listesi düzeltme isteği\n\nMerhaba Hocam,\n\nListedeki kaydımın güncellenmesini rica ediyorum. Ad Soyad: "), name, F.lit(", E-posta: "), address, F.lit("."),
-        line("Proje", "project"), line("Dil", "language"), line("Devam durumu", "status"), F.lit("\n\nTeşekkür ederim,\n"), name,
+        F.lit(v.EMAIL_DRAFT[0]), name, F.lit(v.EMAIL_DRAFT[1]), address, F.lit("."),
+        *[line(title, c) for title, c in v.EMAIL_LINES], F.lit(v.EMAIL_DRAFT[2]), name,
     )
     out = out.withColumns({"recommendation": advice, "confidence": F.when(n > 1, "low").when(n == 1, "medium").otherwise("high"), "suggested_email": email})
     return out.drop("__project", "__language", "__status", "__name", "__email")

@@ -13,6 +13,7 @@ from chatlake.operators.chunking import ChunkingConfig
 from chatlake.operators.embedding import Backend, embedded, resolve
 from chatlake.operators.retrieval import RetrievalConfig
 from chatlake.sources.files import texts
+from chatlake.sources.settings import aliases_of_environment, policy_of_environment
 from chatlake.streaming import updates
 
 
@@ -20,10 +21,12 @@ class Engine:
     """Holds masked messages, documents, chunks and vectors as DataFrames; every call works on batches of questions."""
 
     def __init__(
-        self, spark: SparkSession, aliases: Iterable[str] = v.AUTHORITY_ALIASES, policy: MaskingPolicy = MaskingPolicy(), chunking: ChunkingConfig = ChunkingConfig(),
+        self, spark: SparkSession, aliases: Iterable[str] | None = None, policy: MaskingPolicy | None = None, chunking: ChunkingConfig = ChunkingConfig(),
         backend: Backend | str | None = None, retrieval: RetrievalConfig | None = None, generator=None,
     ):
-        self.spark, self.aliases, self.policy, self.chunking = spark, tuple(aliases), policy, chunking
+        self.spark, self.chunking = spark, chunking
+        self.aliases = aliases_of_environment() if aliases is None else tuple(aliases)
+        self.policy = policy_of_environment() if policy is None else policy
         self.backend = backend if isinstance(backend, Backend) else resolve(backend)
         self.retrieval = retrieval or RetrievalConfig.calibrated_for(self.backend.name)
         self.generator = generator

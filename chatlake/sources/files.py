@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,31 +36,54 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", source_name(F.col("path")).alias("source"), "content")
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text entries of archives; media are never opened."""
-    kind = pa.schema([("path", pa.string()), ("source", pa.string()), ("content", pa.binary())])
-    for batch in batches:
-        for row in batch.to_pylist():
-            out = []
-            with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
-                for name in z.namelist():
-                    stem, _, suffix = name.rpartition("/")[2].rpartition(".")
-                    if suffix.lower() in SUFFIXES:
-                        source = row["source"] if "_chat" in stem else f"{row['source']}-{stem}"
-                        out.append({"path": f"{row['path']}!{name}", "source": source, "content": z.read(name)})
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+#: What a damaged or encrypted archive raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError)
 
 
-def expanded(files: DataFrame) -> DataFrame:
-    """Archives replaced by their text entries; the one step that Spark has no reader for."""
-    is_zip = F.lower("path").endswith(".zip")
-    inside = files.where(is_zip).mapInArrow(_entries, "path string, source string, content binary")
-    return files.where(~is_zip).unionByName(inside)
+def _entries(row: dict) -> Iterator[dict]:
+    """Text entries of an archive, one at a time; media are never opened."""
+    with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
+        for name in z.namelist():
+            stem, _, suffix = name.rpartition("/")[2].rpartition(".")
+            if suffix.lower() in SUFFIXES:
+                source = row["source"] if stem == "_chat" else f"{row['source']}-{stem}"
+                yield {"path": f"{row['path']}!{name}", "source": source, "content": z.read(name)}
 
 
-def texts(spark: SparkSession, folder: str) -> DataFrame:
+def _archives(files: DataFrame, keep_errors: bool) -> DataFrame:
+    kind = pa.schema([("path", pa.string()), ("source", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    for entry in _entries(row):
+                        yield pa.RecordBatch.from_pylist([entry | {"error": None}], schema=kind)
+                except BROKEN as e:
+                    if not keep_errors:
+                        raise ValueError(f"cannot read the archive {row['path']}") from e
+                    yield pa.RecordBatch.from_pylist([{"path": row["path"], "source": row["source"], "content": None, "error": type(e).__name__}], schema=kind)
+
+    return files.where(F.lower("path").endswith(".zip")).mapInArrow(run, "path string, source string, content binary, error string")
+
+
+def expanded(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Archives replaced by their text entries; the one step that Spark has no reader for.
+
+    A damaged archive is an error that names it. With ``strict`` false its entries before the damage stay; :func:`broken_archives` lists it.
+    """
+    inside = _archives(files, not strict).where("error is null").drop("error")
+    return files.where(~F.lower("path").endswith(".zip")).unionByName(inside)
+
+
+def broken_archives(files: DataFrame) -> DataFrame:
+    """``path, error`` of the archives that cannot be read to their end."""
+    return _archives(files, True).where("error is not null").select("path", "error")
+
+
+def texts(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
     """``path, source, text`` of all text in a folder."""
-    return expanded(text_files(spark, folder)).select("path", "source", decoded(F.col("content")).alias("text"))
+    return expanded(text_files(spark, folder), strict).select("path", "source", decoded(F.col("content")).alias("text"))
 
 
 def distinct_files(files: DataFrame, position: str = "path") -> DataFrame:

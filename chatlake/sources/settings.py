@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
+from chatlake.functions import vocabulary as v
+from chatlake.functions.masking import MaskingPolicy
+
+
+def _listed(name: str) -> tuple[str, ...]:
+    return tuple(x.strip() for x in os.environ.get(name, "").split(",") if x.strip())
+
+
+def aliases_of_environment(default: Iterable[str] = v.AUTHORITY_ALIASES) -> tuple[str, ...]:
+    """The authority's names from ``CHATLAKE_ALIASES``, comma separated; the default where it is unset or empty."""
+    return _listed("CHATLAKE_ALIASES") or tuple(default)
+
+
+def policy_of_environment(policy: MaskingPolicy = MaskingPolicy()) -> MaskingPolicy:
+    """``policy`` with the hosts of ``CHATLAKE_PRIVATE_HOSTS``, comma separated, masked too."""
+    return policy.with_private_hosts(*_listed("CHATLAKE_PRIVATE_HOSTS"))
+
 
 def confined(value: object, root: Path) -> str:
     if not isinstance(value, str) or not value.strip():
