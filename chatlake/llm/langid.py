@@ -151,6 +151,9 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Centroids
     # Small: at most ``sample_docs`` ids for each language.
     sample = train.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
     sample = sample.select("lang", "doc_id", vectors.asNondeterministic()("text").alias("v")).where("v is not null")
+    # Rows that share a sampled id are cut before they are gathered, however many there are.
+    first = Window.partitionBy("lang").orderBy("doc_id", "v")
+    sample = sample.withColumn("n", F.row_number().over(first)).where(F.col("n") <= config.sample_docs).drop("n")
 
     def clustered(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "v"]).iloc[: config.sample_docs]
