@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chatlake.functions.text import strip
 from chatlake.operators.topics import chunk_topic
@@ -38,30 +41,38 @@ def sessions(rows: DataFrame, key: str, ts: str, order: list[str], gap_minutes:
 
 
 def windows(messages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """``messages(source, line_no, ts, sender, role, text)`` with ``rendered``, ``island`` and ``window``.
+    """``messages(source, line_no, ts, sender, role, text)`` with ``rendered``, ``long``, ``island`` and ``window``.
 
-    Gaps and over-long messages cut a source into islands; within an island, a fold over its ordered messages applies the caps on messages
-    and characters, so only an island is ever held as an array.
+    Gaps and over-long messages cut a source into islands; within an island the caps on messages and characters start new windows. A
+    source's messages are shuffled and sorted once and numbered as they stream by, so that no source and no island is ever held as an array.
     """
     w = Window.partitionBy("source").orderBy("line_no")
-    rows = messages.withColumn("rendered", rendered(F.col("ts"), F.col("sender"), F.col("text")))
-    rows = rows.withColumn("long", F.char_length("rendered") > config.max_chars)
+    rows = messages.repartition("source").withColumn("rendered", rendered(F.col("ts"), F.col("sender"), F.col("text")))
+    rows = rows.withColumn("__size", F.char_length("rendered")).withColumn("long", F.col("__size") > config.max_chars)
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
     cut = F.col("long") | F.coalesce(F.lag("long").over(w), F.lit(False)) | F.coalesce((gap > config.gap_minutes * 60_000_000) | (gap < 0), F.lit(False))
     rows = rows.withColumn("__cut", cut.cast("int")).withColumn("island", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
-    listed = rows.groupBy("source", "island").agg(F.array_sort(F.collect_list(F.struct("line_no", F.char_length("rendered").alias("n")))).alias("m"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("w"), F.array().cast("array<struct<line_no:bigint,window:int>>").alias("out"))
-
-    def step(s: Column, m: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] >= config.max_messages) | (s["chars"] + m["n"] > config.max_chars))
-        number = s["w"] + full.cast("int")
-        return F.struct(
-            F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, m["n"]).otherwise(s["chars"] + m["n"]).alias("chars"), number.alias("w"),
-            F.concat(s["out"], F.array(F.struct(m["line_no"].cast("long").alias("line_no"), number.alias("window")))).alias("out"),
-        )
-
-    numbered = listed.select("source", "island", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("o"))
-    return rows.join(numbered.select("source", "island", "o.line_no", "o.window"), ["source", "island", "line_no"])
+    most, limit = config.max_messages, config.max_chars
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, chars, window = None, 0, 0, 0
+        for batch in batches:
+            keys, sizes = zip(batch.column("source").to_pylist(), batch.column("island").to_pylist(), strict=True), batch.column("__size").to_pylist()
+            out = []
+            for key, size in zip(keys, sizes, strict=True):
+                size = size or 0
+                if key != now:
+                    now, n, chars, window = key, 1, size, 0
+                elif n >= most or chars + size > limit:
+                    n, chars, window = 1, size, window + 1
+                else:
+                    n, chars = n + 1, chars + size
+                out.append(window)
+            yield batch.append_column(pa.field("window", pa.int32()), pa.array(out, pa.int32()))
+
+    schema = StructType([*rows.schema.fields, StructField("window", IntegerType())])
+    # The order is the one that the windows above have made already: no second sort.
+    return rows.sortWithinPartitions("source", "line_no").mapInArrow(numbered, schema).drop("__size")
 
 
 def split_long(text: Column, config: ChunkingConfig = ChunkingConfig()) -> Column:

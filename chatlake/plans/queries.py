@@ -239,6 +239,37 @@ def chunk_windows_greedy(spark, sf_dir):
     return rows.select("source", "line_no", (F.dense_rank().over(order) - 1).cast("long").alias("window_no"))
 
 
+# The events of a group of users stand for a conversation; every seventh has no time, every 97th is over-long.
+_GAP_WINDOWS = """
+WITH RECURSIVE e AS (
+  SELECT event_id, 'group' || (user_id % 15) AS source, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts, 'user ' || user_id AS sender, row_number() OVER (PARTITION BY user_id % 15 ORDER BY ts, event_id) AS i,
+    repeat(event_type || ' ', CASE WHEN event_id % 97 = 0 THEN 400 ELSE 1 + event_id % 40 END) AS text FROM events
+), r AS (SELECT *, length('[' || coalesce(strftime(ts, '%d.%m.%Y %H:%M'), 'tarihsiz') || '] ' || sender || ': ' || text) AS n, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY source ORDER BY i)) AS gap FROM e),
+s AS (SELECT *, n > 900 OR coalesce(lag(n) OVER (PARTITION BY source ORDER BY i) > 900, false) OR coalesce(gap > 1800000000 OR gap < 0, false) AS cut FROM r),
+w AS (
+  SELECT source, i, event_id, 1 AS cnt, n AS chars, 0 AS win FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.source, s.i, s.event_id, CASE WHEN s.cut OR w.cnt >= 12 OR w.chars + s.n > 900 THEN 1 ELSE w.cnt + 1 END, CASE WHEN s.cut OR w.cnt >= 12 OR w.chars + s.n > 900 THEN s.n ELSE w.chars + s.n END,
+    w.win + (s.cut OR w.cnt >= 12 OR w.chars + s.n > 900)::INT
+  FROM w JOIN s ON s.source = w.source AND s.i = w.i + 1
+)
+SELECT source, event_id, win::BIGINT AS window_no FROM w
+"""
+
+
+@query("chunk_windows_gaps", _GAP_WINDOWS)
+def chunk_windows_gaps(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("source").orderBy("at", "event_id")).cast("long")
+    words = F.expr("repeat(concat(event_type, ' '), cast(if(event_id % 97 = 0, 400, 1 + event_id % 40) as int))")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.expr("concat('group', user_id % 15)").alias("source"), F.col("ts").alias("at"), F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("sender"), F.lit("participant").alias("role"), words.alias("text"),
+    )
+    rows = chunking.windows(rows.withColumn("line_no", place).drop("at"))
+    order = Window.partitionBy("source").orderBy("island", "window")
+    return rows.select("source", "event_id", (F.dense_rank().over(order) - 1).cast("long").alias("window_no"))
+
+
 def _split_sql(rows: str) -> str:
     """CTEs for ``WITH RECURSIVE`` from ``whole(k, text)`` to ``pieces(k, n, part)``, n from 1: paragraphs, sentences, hard cuts, packed with an overlap."""
     strip_all = lambda x: f"list_filter(list_transform({x}, lambda y: {strip_sql('y')}), lambda y: y <> '')"
@@ -537,19 +568,43 @@ def authority_recency(spark, sf_dir):
     return _scored(spark, sf_dir).select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in ("score", "authority_boost", "recency_boost")])
 
 
-@query("hybrid_fuse", """
-WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
-dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS r FROM d) WHERE r <= 30),
-lex AS (SELECT q.vec_id AS query_id, e.vec_id, (e.label + 1.0) / (1 + abs(q.vec_id - e.vec_id)) AS bm25 FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND abs(q.vec_id - e.vec_id) < 60),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id) AS r FROM lex WHERE bm25 > 0) WHERE r <= 30)
-SELECT query_id, vec_id, round(greatest(coalesce(dense.s, 0), 0), 6) AS dense, round(coalesce(lex.bm25, 0), 6) AS bm25 FROM dense FULL JOIN (SELECT query_id, vec_id FROM top) t USING (query_id, vec_id) LEFT JOIN lex USING (query_id, vec_id)""")
-def hybrid_fuse(spark, sf_dir):
+def _fused(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     dense = embedding.cosine_topk(queries, rows, 30, key="vec_id")
     near = queries.select("query_id", F.explode(F.sequence(F.col("query_id") - 59, F.col("query_id") + 59)).alias("vec_id")).join(rows, "vec_id")
     lex = near.select("query_id", "vec_id", ((F.col("label") + 1.0) / (1 + F.abs(F.col("query_id") - F.col("vec_id")))).alias("bm25"))
-    return retrieval.fused(dense, lex, "query_id", "vec_id", 30).select("query_id", "vec_id", F.round("dense", 6).alias("dense"), F.round("bm25", 6).alias("bm25"))
+    return retrieval.fused(dense, lex, "query_id", "vec_id", 30)
+
+
+_FUSED = """
+WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS r FROM d) WHERE r <= 30),
+lex AS (SELECT q.vec_id AS query_id, e.vec_id, (e.label + 1.0) / (1 + abs(q.vec_id - e.vec_id)) AS bm25 FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND abs(q.vec_id - e.vec_id) < 60),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, vec_id) AS r FROM lex WHERE bm25 > 0) WHERE r <= 30)
+"""
+
+
+@query("hybrid_fuse", _FUSED + "SELECT query_id, vec_id, round(greatest(coalesce(dense.s, 0), 0), 6) AS dense, round(coalesce(lex.bm25, 0), 6) AS bm25 FROM dense FULL JOIN (SELECT query_id, vec_id FROM top) t USING (query_id, vec_id) LEFT JOIN lex USING (query_id, vec_id)")
+def hybrid_fuse(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "vec_id", F.round("dense", 6).alias("dense"), F.round("bm25", 6).alias("bm25"))
+
+
+# Dense and lexical scores together, with the weights of authority, time and mode: the label stands for the role, the id for the start.
+@query("hybrid_relevance", _FUSED + """, f AS (SELECT query_id, vec_id, greatest(coalesce(dense.s, 0), 0) AS dense, coalesce(lex.bm25, 0) AS bm25 FROM dense FULL JOIN (SELECT query_id, vec_id FROM top) t USING (query_id, vec_id) LEFT JOIN lex USING (query_id, vec_id)),
+g AS (SELECT f.*, CASE WHEN bm25 > 0 THEN bm25 / (bm25 + 8) ELSE 0 END AS lexical, CASE WHEN label % 3 = 0 THEN 1.0 ELSE (1 + 0.15 * (label % 5) / 4) * (1 - 0.2 * (1 - (label % 5) / 4)) END AS a,
+  1 + 0.1 * coalesce(pow(0.5, (399 - vec_id % 400) / 45.0), 0) AS r FROM f JOIN embeddings USING (vec_id))
+SELECT query_id, vec_id, round(0.65 * dense + 0.35 * lexical, 6) AS relevance, round((0.65 * dense + 0.35 * lexical) * a * r, 6) AS score, round((0.65 * dense + 0.35 * lexical) * r * (a - 1), 6) AS authority_boost FROM g""")
+def hybrid_relevance(spark, sf_dir):
+    label = F.col("label")
+    chunks = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(label % 3 == 0, "document").otherwise("participant").alias("role"), ((label % 5) / 4).alias("instructor_ratio"),
+        F.expr("timestamp_ntz'2026-01-01' + make_dt_interval(cast(vec_id % 400 as int))").alias("start_time"),
+    )
+    boost, penalty = retrieval.MODE_WEIGHTS[v.TECHNICAL]
+    rows = _fused(spark, sf_dir).join(chunks, "vec_id").withColumn("latest", F.expr("timestamp_ntz'2026-01-01' + interval 399 day"))
+    rows = retrieval.scored(rows.withColumn("boost", F.lit(boost)).withColumn("penalty", F.lit(penalty)), retrieval.RetrievalConfig())
+    return rows.select("query_id", "vec_id", *[F.round(c, 6).alias(c) for c in ("relevance", "score", "authority_boost")])
 
 
 @query("jaccard_pairs", f"""

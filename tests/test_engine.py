@@ -371,3 +371,14 @@ def test_an_output_outside_the_index_folder_is_refused(tmp_path):
     for bad in ("", "..", str(tmp_path), "/etc"):
         with pytest.raises(ValueError):
             confined(bad, tmp_path)
+
+
+def test_windows_stream_a_source_without_gaps(spark):
+    rows = spark.range(300_000).select(
+        F.concat(F.lit("s"), F.col("id") % 1).alias("source"), F.col("id").alias("line_no"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("a").alias("sender"), F.lit("participant").alias("role"), F.lit("x").alias("text")
+    )
+    out = chunking.windows(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    got = out.groupBy("island", "window").agg(F.count("*").alias("n"), F.min("line_no").alias("first")).collect()
+    assert len(got) == 25_000 and all(r.n == 12 and r.first == 12 * r.window and r.island == 0 for r in got)
