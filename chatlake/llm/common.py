@@ -46,6 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by :func:`written` once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_chatlake_path", None)

@@ -7,7 +7,8 @@ k-means with farthest-first starts. The language of the nearest centroid is pred
 
 Document frequencies count all training rows. Only the centroids are fitted on a bounded sample: per language, the ``sample_docs`` training
 rows with the least hash of their id, whole texts. Training rows are those with a language, a text with a letter, a doc_id,
-and a fold (crc32 of the id's text modulo ``folds``) other than 0. Language, source and id are never inputs of a prediction.
+and a fold (crc32 of the id's text modulo ``folds``) other than 0. Language, source and id are never inputs of a prediction. The model, which
+every task gets, holds at most ``clusters`` vectors of 2**``dims_bits`` floats for each language, so it grows with the languages alone.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0, not rejected; without any training row all texts do;
 a null doc_id is never trained on and not held out; repeated rows give equal rows; an empty table gives no row; other columns are ignored.
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.llm.common import broadcast_if_small
 from chatlake.llm.sampling import hash_cut
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +42,7 @@ class LanguageConfig:
     folds: int = 5
     reject_quantile: float = 0.01
     reject_margin: float = 0.05
+    broadcast_rows: int = 500_000  # longer tables of languages or sampled ids are joined by a shuffle
 
 
 @functools.lru_cache(maxsize=1)
@@ -138,9 +141,10 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Centroids
     for at, k in df.items():
         idf[at] = np.log((1 + n) / (1 + k)) + 0.05
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sizes = train.groupBy("lang").agg(F.count("*").alias("of_lang"))
-    # A cut on the hash leaves about twice the sample of each language, however many tasks there are.
-    ids = train.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(hash_cut(F.col("doc_id"), config.sample_docs, F.col("of_lang"))).select("doc_id", "lang")
+    sizes = broadcast_if_small(train.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("of_lang")), "languages", config.broadcast_rows)
+    # A cut on the hash leaves about twice the sample of each language, however many tasks there are. Ids are counted, not rows, as an id of
+    # very many rows would else leave its language without a sample; the count's sketch is the same for any partitioning.
+    ids = train.select("doc_id", "lang").join(sizes, "lang").where(hash_cut(F.col("doc_id"), config.sample_docs, F.col("of_lang"))).select("doc_id", "lang")
     chosen = ids.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.sample_docs)
 
     @F.arrow_udf("binary")
@@ -148,8 +152,9 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Centroids
         rows = (gram_counts(t.as_py(), bits) for t in texts)
         return pa.array([None if r is None else vector(r, idf).astype(np.float16).tobytes() for r in rows], type=pa.binary())
 
-    # Small: at most ``sample_docs`` ids for each language.
-    sample = train.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
+    # At most ``sample_docs`` ids for each language.
+    chosen = broadcast_if_small(chosen.select("doc_id", "lang"), "sample", config.broadcast_rows)
+    sample = train.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
     sample = sample.select("lang", "doc_id", vectors.asNondeterministic()("text").alias("v")).where("v is not null")
     # Rows that share a sampled id are cut before they are gathered, however many there are.
     first = Window.partitionBy("lang").orderBy("doc_id", "v")

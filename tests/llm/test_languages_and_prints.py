@@ -4,6 +4,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 from xxhash import xxh64_intdigest
@@ -162,3 +163,17 @@ def test_nearest_centroid_equals_brute_force(spark):
         near = {lang for lang, s in zip(model.langs, sims) if s > max(sims) - 1e-4}
         assert got[d].lang_pred in near
     assert {len([x for x in model.langs if x == lang]) for lang in model.langs} <= {1, 2, 3}
+
+
+def test_a_hot_id_and_unbroadcast_tables_change_nothing(spark):
+    """A sampled id with thousands of equal rows fills its language's sample only up to its size; larger tables are shuffled instead."""
+    text = {"aa": "abcab bcabc cabca ", "zz": "xyzxz zyxzy yzyxz "}
+    rows = [(i, text[k] * (i % 7 + 1), k) for i in range(80) for k in text if (i % 2) == (k == "zz")]
+    hot = next(d for d, _, k in rows if k == "aa" and zlib.crc32(str(d).encode()) % 5)
+    docs = spark.createDataFrame(rows + [(hot, text["aa"], "aa")] * 3000, "doc_id long, text string, lang string")
+    small = langid.LanguageConfig(sample_docs=20)
+    one, other = langid.fit(docs, small), langid.fit(docs, langid.LanguageConfig(sample_docs=20, broadcast_rows=0))
+    assert one.langs == other.langs and set(one.langs) == {"aa", "zz"}
+    assert np.array_equal(one.centres, other.centres) and np.array_equal(one.idf, other.idf)
+    got = {r.doc_id: r.lang_pred for r in langid.languages(docs, small).collect()}
+    assert all(got[d] == k for d, _, k in rows)
