@@ -36,7 +36,7 @@ _FORMS = _letters("NFKC", False)
 
 def lower_tr(text: Column) -> Column:
     """Lower case in which a capital dotless I becomes ı and a capital dotted İ becomes i."""
-    return F.lower(F.translate(text, "Iİ", "ıi"))
+    return F.lower(F.replace(F.replace(text, F.lit("I"), F.lit("ı")), F.lit("İ"), F.lit("i")))
 
 
 def without_bidi(text: Column) -> Column:

@@ -77,32 +77,44 @@ def _tops(q: np.ndarray, s: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(q)) - first < k]
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A task's ``k`` best (query number, score, key) for each row of ``m``: products in tiles, scores rounded before they are compared."""
+def tops(tiles: Iterable[tuple[np.ndarray, Iterable[tuple[int, np.ndarray]]]], queries: int, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best (query number, score, key) for each query of tiles: keys, and their scores for blocks of queries from a first number on.
+
+    Scores are compared as rounded to ``digits`` digits and given as they are; minus infinity is never among the best.
+    """
     q, s, x = np.zeros(0, dtype=np.int64), np.zeros(0), None
-    least = np.full(len(m), -np.inf)  # the k-th best score so far
-    for batch in batches:
-        for at in range(0, batch.num_rows, TILE[1]):
-            part = batch.slice(at, TILE[1])
-            names = part.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(part.column(1).to_pylist(), dtype=np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            x = names[:0] if x is None else x
-            for row in range(0, len(m), TILE[0]):
-                scores = np.round(m[row : row + TILE[0]] @ v.T, DIGITS)
-                n = scores.shape[1]
-                cut = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
-                i, j = np.nonzero(scores >= np.maximum(cut, least[row : row + TILE[0]])[:, None])
-                new = _tops(i, scores[i, j], names[j], k)
-                i, j = i[new], j[new]
-                q, s, x = np.concatenate([q, i + row]), np.concatenate([s, scores[i, j]]), np.concatenate([x, names[j]])
-            keep = _tops(q, s, x, k)
-            q, s, x = q[keep], s[keep], x[keep]
-            full = np.flatnonzero(np.bincount(q, minlength=len(m)) >= k)
-            least[full] = s[np.searchsorted(q, full, side="right") - 1]
+    least = np.full(queries, -np.inf)  # the k-th best score so far
+    for names, blocks in tiles:
+        x = names[:0] if x is None else x
+        for row, exact in blocks:
+            scores = np.round(exact, digits)
+            n = scores.shape[1]
+            cut = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+            i, j = np.nonzero((scores >= np.maximum(cut, least[row : row + len(scores)])[:, None]) & (scores > -np.inf))
+            new = _tops(i, scores[i, j], names[j], k)
+            i, j = i[new], j[new]
+            q, s, x = np.concatenate([q, i + row]), np.concatenate([s, exact[i, j]]), np.concatenate([x, names[j]])
+        keep = _tops(q, np.round(s, digits), x, k)
+        q, s, x = q[keep], s[keep], x[keep]
+        full = np.flatnonzero(np.bincount(q, minlength=queries) >= k)
+        least[full] = np.round(s[np.searchsorted(q, full, side="right") - 1], digits)
     return q, s, np.zeros(0) if x is None else x
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A task's ``k`` best (query number, score, key) for each row of ``m``: products in tiles, scores rounded before they are compared."""
+
+    def tiles():
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE[1]):
+                part = batch.slice(at, TILE[1])
+                v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                yield part.column(0).to_numpy(zero_copy_only=False), ((row, np.round(m[row : row + TILE[0]] @ v.T, DIGITS)) for row in range(0, len(m), TILE[0]))
+
+    return tops(tiles(), len(m), k, DIGITS)
+
+
 #: Queries and vectors of one product: 32 MB of scores.
 TILE = (1024, 4096)
 #: Scores that agree to so many digits are ties.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chatlake.functions import vocabulary as v
 from chatlake.functions.text import stems
 from chatlake.operators.embedding import HASHING, cosine_topk, embedded
-from chatlake.operators.index import Index, bm25, gate
+from chatlake.operators.index import Index, bm25, bm25_topk, gate
 from chatlake.sources.shared import materialized
 
 # Scores below which nothing counts as evidence, and the gate's share, by embedding backend; the authority's weights by mode.
@@ -67,6 +67,12 @@ def fused(dense: DataFrame, lexical: DataFrame, query: str, key: str, pool: int,
     return both.select(query, key, F.greatest(F.coalesce("dense", F.lit(0.0)), F.lit(0.0)).alias("dense"), F.coalesce("bm25", "other", F.lit(0.0)).alias("bm25"))
 
 
+def few(candidates: DataFrame, name: str = "pool", most: int = 1_000_000) -> DataFrame:
+    """``candidates``, at most twice a pool for each question, written once; up to ``most`` rows go to the tables they are joined with, so that no text is shuffled."""
+    rows = materialized(candidates, name)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def scored(candidates: DataFrame, config: RetrievalConfig) -> DataFrame:
     """Adds ``lexical, relevance, score, authority_boost, recency_boost`` to rows with ``dense, bm25, role, instructor_ratio, start_time, latest, boost, penalty``."""
     rows = candidates.withColumn("lexical", saturated(F.col("bm25"))).withColumn("relevance", config.dense_weight * F.col("dense") + config.lexical_weight * F.col("lexical"))
@@ -123,8 +129,8 @@ def retrieve(
     passed = asked.join(gate(asked, lex, config.max_df_ratio).where("passes"), "query_id", "left_semi")
     dense = cosine_topk(embedded(passed, "query_id", "text", index.backend), index.vectors, config.pool)
     # At most ``pool`` rows for each question, read twice.
-    dense = materialized(dense, "dense")
-    both = fused(dense, bm25(passed, lex), "query_id", "chunk_id", config.pool, lambda pairs: bm25(passed, lex, pairs=pairs))
+    dense = few(dense, "dense")
+    both = few(fused(dense, bm25_topk(passed, lex, config.pool), "query_id", "chunk_id", config.pool, lambda pairs: bm25(passed, lex, pairs=pairs)))
     latest = index.chunks.agg(F.max("start_time").alias("latest"))
     modes = passed.select("query_id", "mode").join(F.broadcast(weights), "mode", "left").fillna({"boost": config.boost, "penalty": config.penalty}).drop("mode")
     rows = scored(both.join(index.chunks, "chunk_id").join(F.broadcast(latest)).join(modes, "query_id"), config)
