@@ -1,7 +1,8 @@
-"""Hashed text vectors in DataFrame operations, pluggable model backends, and exact cosine search."""
+"""Hashed text vectors, pluggable model backends, and exact cosine search."""
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -10,54 +11,104 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from chatlake.functions.text import words
 from chatlake.sources.shared import materialized
 
 
-def features(tokens: Column) -> Column:
-    """Array of structs ``f, w``: words, their 4- and 5-grams, and pairs of neighbours."""
-    one = lambda t: F.array(F.struct(F.concat(F.lit("w:"), t).alias("f"), F.lit(1.0).alias("w")))
-
-    def grams(t: Column, n: int) -> Column:
-        starts = F.when(F.char_length(t) >= n, F.sequence(F.lit(1), F.char_length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.concat(F.lit("c:"), F.substring(t, i, F.lit(n))).alias("f"), F.lit(0.5).alias("w")))
-
-    single = F.flatten(F.transform(tokens, lambda t: F.concat(one(t), grams(t, 4), grams(t, 5))))
-    pair = lambda a, b: F.struct(F.concat(F.lit("b:"), a, F.lit("_"), b).alias("f"), F.lit(0.75).alias("w"))
-    nexts = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(tokens, nexts, pair), lambda p: p["f"].isNotNull())
-    return F.concat(single, pairs)
+#: Words of one tile of texts; a longer text is a tile of its own.
+WORDS = 50_000
+
+
+#: A worker's words and their features' digests; made anew when there are so many.
+_KNOWN: dict[str, np.ndarray] = {}
+MOST_KNOWN = 200_000
+
+
+def _features(t: str) -> list[str]:
+    """A word, of weight 1, and its 4- and 5-grams, of weight 1/2."""
+    return ["w:" + t, *("c:" + t[i : i + n] for n in (4, 5) for i in range(len(t) - n + 1))]
+
+
+def _digests(features: list[str]) -> np.ndarray:
+    """The first 64 bits of each feature's MD5, by which it is known: place from the upper half, sign from the ninth hexadecimal digit."""
+    return np.frombuffer(b"".join([hashlib.md5(f.encode()).digest() for f in features]), ">u8")[::2].astype(np.uint64)
+
+
+def _digests_of(names: list[str]) -> list[np.ndarray]:
+    """The digests of each word's features."""
+    if len(_KNOWN) > MOST_KNOWN:
+        _KNOWN.clear()
+    if new := [t for t in names if t not in _KNOWN]:
+        lists = [_features(t) for t in new]
+        _KNOWN.update(zip(new, np.split(_digests([f for fs in lists for f in fs]), np.cumsum([*map(len, lists)])[:-1]), strict=True))
+    return [_KNOWN[t] for t in names]
+
+
+def _places(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """For tiles of ``(key, words)``: the keys, and of all places other than zero the text's number, the place and the value."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+        tile = (np.cumsum(sizes) - sizes) // WORDS
+        for at, end in itertools.pairwise([*np.flatnonzero(np.diff(tile, prepend=-1)), len(tile)]):
+            part = batch.slice(at, end - at)
+            coded = part.column(1).flatten().dictionary_encode()
+            code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            row = np.repeat(np.arange(end - at), sizes[at:end])
+            of = _digests_of(names)
+            start = np.cumsum([0, *map(len, of)])
+            times = start[code + 1] - start[code]
+            place = np.arange(times.sum()) + np.repeat(start[code] - np.cumsum(times) + times, times)
+            both = np.flatnonzero(row[1:] == row[:-1])  # pairs of neighbours
+            pairs, of_pair = np.unique(code[both].astype(np.int64) * max(1, len(names)) + code[both + 1], return_inverse=True)
+            pair = _digests([f"b:{names[i]}_{names[j]}" for i, j in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(names)))), strict=True)])
+            found, number = np.unique(np.concatenate([*of, pair]), return_inverse=True)
+            bucket, sign = (found >> np.uint64(32)).astype(np.int64) % dims, np.where((found >> np.uint64(28)) & np.uint64(1), 1.0, -1.0)
+            w = np.full(start[-1], 0.5)
+            w[start[:-1]] = 1.0
+            cell, same = np.unique(np.concatenate([np.repeat(row, times) * len(found) + number[place], row[both] * len(found) + number[start[-1] + of_pair]]), return_inverse=True)
+            weight = np.bincount(same, np.concatenate([w[place], np.full(len(both), 0.75)]), len(cell))
+            text, feature = np.divmod(cell, max(1, len(found)))
+            cell, same = np.unique(text * dims + bucket[feature], return_inverse=True)
+            x = np.bincount(same, sign[feature] * (1 + np.log(weight + 1)), len(cell))
+            text, bucket = np.divmod(cell, dims)
+            norm = np.sqrt(np.bincount(text, x * x, end - at))[text]
+            yield part.column(0), text, bucket, np.divide(x, norm, out=np.zeros(len(x)), where=norm > 0)
 
 
 def hashed(docs: DataFrame, key: str, text: str = "text", dims: int = 512) -> DataFrame:
-    """``key, bucket, value``: the vector of each text, of length one, as its places other than zero.
+    """``key, bucket, value``: the vector of each text, of length one, as its places other than zero. ``key`` names a text.
 
-    Place and sign come from the feature's MD5, so any engine gives the same vector. Both sums are combined before their shuffles.
+    Features are words, their 4- and 5-grams, and pairs of neighbours. Place and sign come from the feature's MD5, so any engine gives the same vector.
+    A task makes its own texts' vectors, tile by tile: nothing is shuffled, and a feature is hashed once for a tile.
     """
-    own = docs.select(key, F.explode(features(words(F.col(text)))).alias("x")).groupBy(key, "x.f").agg(F.sum("x.w").alias("w"))
-    digest = F.md5(F.col("f").cast("binary"))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    summed = own.select(key, bucket.cast("int").alias("bucket"), (sign * (1 + F.ln(F.col("w") + 1))).alias("x")).groupBy(key, "bucket").agg(F.sum("x").alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
-    return summed.select(key, "bucket", F.when(norm > 0, F.col("x") / norm).otherwise(0.0).alias("value"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, bucket, value in _places(batches, dims):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(value)], names=[key, "bucket", "value"])
+
+    own = docs.select(key, words(F.col(text)).alias("w"))
+    return own.mapInArrow(run, StructType([own.schema[key], StructField("bucket", IntegerType()), StructField("value", DoubleType())]))
+
+
+def dense(docs: DataFrame, key: str, text: str = "text", dims: int = 512) -> DataFrame:
+    """``key, vector array<float>``: :func:`hashed` with all places, for texts that have a word."""
 
-def dense(sparse: DataFrame, key: str, dims: int = 512) -> DataFrame:
-    """``key, vector array<float>`` of places and values."""
-    @F.arrow_udf("array<float>")
-    def fill(buckets: pa.Array, values: pa.Array) -> pa.Array:
-        out = np.zeros((len(buckets), dims), dtype=np.float32)
-        rows = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy(zero_copy_only=False))
-        out[rows, buckets.flatten().to_numpy()] = values.flatten().to_numpy()
-        return pa.array(list(out), type=pa.list_(pa.float32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, bucket, value in _places(batches, dims):
+            own, place = np.unique(row, return_inverse=True)
+            out = np.zeros((len(own), dims), dtype=np.float32)
+            out[place, bucket] = value
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * dims, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), lists], names=[key, "vector"])
 
-    listed = sparse.groupBy(key).agg(F.collect_list(F.struct("bucket", "value")).alias("e"))
-    return listed.select(key, fill(F.col("e.bucket"), F.col("e.value")).alias("vector"))
+    own = docs.select(key, words(F.col(text)).alias("w"))
+    return own.mapInArrow(run, StructType([own.schema[key], StructField("vector", ArrayType(FloatType()))]))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -108,7 +159,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], m: np.ndarray, k: int) -> tuple[
         for batch in batches:
             for at in range(0, batch.num_rows, TILE[1]):
                 part = batch.slice(at, TILE[1])
-                v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 yield part.column(0).to_numpy(zero_copy_only=False), ((row, np.round(m[row : row + TILE[0]] @ v.T, DIGITS)) for row in range(0, len(m), TILE[0]))
 
@@ -192,7 +243,7 @@ def resolve(name: str | None = None) -> Backend:
 def embedded(docs: DataFrame, key: str, text: str = "text", backend: Backend = HASHING, batch: int = 32) -> DataFrame:
     """``key, vector``, of length one. A model runs as an Arrow function in batches, loaded once for each worker."""
     if backend.embed is None:
-        return dense(hashed(docs, key, text, backend.dims), key, backend.dims)
+        return dense(docs, key, text, backend.dims)
     call = backend.embed
 
     @F.pandas_udf("array<float>")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatlake.operators import index
+from chatlake.operators import embedding, index
 from chatlake.plans import queries
 
 
@@ -52,3 +52,47 @@ def test_postings_of_an_earlier_index_are_read(spark):
     asked = spark.createDataFrame([(1, "köpek kedi"), (2, "kuş")], "query_id long, text string")
     assert sorted(map(tuple, index.bm25_topk(asked, old, 3).collect())) == sorted(map(tuple, index.bm25_topk(asked, now, 3).collect()))
     assert old.totals.first() == now.totals.first()
+
+
+def brute_vector(text, dims=512):
+    import hashlib
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    w, feats = re.findall(r"\w+", text.lower()), Counter()
+    for t in w:
+        feats["w:" + t] += 1.0
+        for n in (4, 5):
+            for i in range(len(t) - n + 1):
+                feats["c:" + t[i : i + n]] += 0.5
+    for a, b in zip(w, w[1:]):
+        feats[f"b:{a}_{b}"] += 0.75
+    out = defaultdict(float)
+    for f, x in feats.items():
+        d = hashlib.md5(f.encode()).hexdigest()
+        out[int(d[:8], 16) % dims] += (1 if int(d[8], 16) % 2 else -1) * (1 + math.log(x + 1))
+    norm = math.sqrt(sum(x * x for x in out.values()))
+    return {b: x / norm for b, x in out.items()}
+
+
+def test_vectors_are_made_without_a_shuffle(spark, monkeypatch):
+    import pyarrow as pa
+
+    # a_b c and a b_c have one feature between them; a word holds a gram twice; a text without words has no vector.
+    texts = ["a_b c a b_c", "aaaaaaa aaaa", "", "?!", None, "köpek kuşlar " * 30, "kediler"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2)
+    assert "Exchange" not in plan_of(embedding.hashed(spark.range(3).select("id", F.lit("x").alias("text")), "id"))
+    assert "Exchange" not in plan_of(embedding.embedded(spark.range(3).select("id", F.lit("x").alias("text")), "id"))
+    got = {}
+    for r in embedding.hashed(docs, "k").collect():
+        got.setdefault(r.k, {})[r.bucket] = r.value
+    want = {i: brute_vector(t) for i, t in enumerate(texts) if t and t != "?!"}
+    assert got.keys() == want.keys() and all(got[i].keys() == want[i].keys() and all(abs(got[i][b] - x) < 1e-12 for b, x in want[i].items()) for i in want)
+    whole = {r.k: r.vector for r in embedding.embedded(docs, "k").collect()}
+    assert whole.keys() == want.keys() and all(abs(whole[i][b] - want[i].get(b, 0.0)) < 1e-6 for i in want for b in range(512))
+    monkeypatch.setattr(embedding, "WORDS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([t if t is None else t.replace("?!", "").split() for t in texts])], names=["k", "w"])
+    tiles = list(embedding._places([batch], 512))
+    tiled = {(keys[int(i)].as_py(), int(b)): x for keys, row, bucket, value in tiles for i, b, x in zip(row, bucket, value)}
+    assert len(tiles) > 3 and tiled.keys() == {(i, b) for i in want for b in want[i]} and all(abs(x - want[i][b]) < 1e-12 for (i, b), x in tiled.items())
