@@ -70,6 +70,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once for a row, as the one element of an array; written out it would be worked out again at each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def has_any(text: Column, words: Iterable[str]) -> Column:
     """Whether one of ``words`` occurs; one codegen'd disjunction that stops at the first hit."""
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words), F.lit(False))
@@ -77,8 +82,9 @@ def has_any(text: Column, words: Iterable[str]) -> Column:
 
 def first_of(text: Column, groups: Iterable[tuple[str, Iterable[str]]], otherwise: Column | None = None) -> Column:
     """The name of the first group of which a word occurs."""
-    hits = [F.when(has_any(text, words), F.lit(name)) for name, words in groups]
-    return F.coalesce(*hits, F.lit(None).cast("string") if otherwise is None else otherwise)
+    groups = [(name, tuple(words)) for name, words in groups]
+    hits = lambda t: [F.when(has_any(t, words), F.lit(name)) for name, words in groups]
+    return bound(text, lambda t: F.coalesce(*hits(t), F.lit(None).cast("string") if otherwise is None else otherwise))
 
 
 def words(text: Column) -> Column:

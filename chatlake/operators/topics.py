@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import vocabulary as v
-from chatlake.functions.text import first_of, has_any, lower_tr
+from chatlake.functions.text import bound, first_of, has_any, lower_tr
 
 Groups = Mapping[str, Sequence[str]]
 
@@ -19,30 +19,36 @@ def chunk_topic(text: Column, source: Column, groups: Groups = v.CHUNK_TOPICS, b
 
 
 def is_programme_topic(text: Column, programme: Sequence[str] = v.PROGRAMME, groups: Groups = v.QUERY_TOPICS) -> Column:
-    return has_any(lower_tr(text), [*programme, *(w for ws in groups.values() for w in ws)])
+    words = [*programme, *(w for ws in groups.values() for w in ws)]
+    return bound(lower_tr(text), lambda low: has_any(low, words))
 
 
-def query_topic(query: Column, mode: Column, groups: Groups = v.QUERY_TOPICS) -> Column:
+def query_topic(query: Column, mode: Column, groups: Groups = v.QUERY_TOPICS, low: Column | None = None) -> Column:
     """A mode other than question answering decides; else the words do."""
     return (
         F.when(mode == v.TECHNICAL, "technical").when(mode == v.CHECKLIST, "submission").when(mode == v.CORRECTION, "correction")
-        .otherwise(first_of(lower_tr(query), groups.items(), F.lit("general")))
+        .otherwise(first_of(lower_tr(query) if low is None else low, groups.items(), F.lit("general")))
     )
 
 
-def is_requirement_query(text: Column) -> Column:
-    low = lower_tr(text)
-    asks = F.contains(low, F.lit("teslim")) & has_any(low, v.REQUIREMENT_WORDS)
-    return ~has_any(low, v.STATUS_WORDS) & (asks | (has_any(low, v.CODE_WORDS) & has_any(low, v.CONTENTS_WORDS)))
+# These take the text's lower case where a caller has it, so that it is made once for a row.
 
 
-def is_channel_query(text: Column) -> Column:
-    low = lower_tr(text)
-    return F.contains(low, F.lit("whatsapp")) & has_any(low, v.CHANNEL_WORDS)
+def is_requirement_query(text: Column, low: Column | None = None) -> Column:
+    def asks(low: Column) -> Column:
+        hands_in = F.contains(low, F.lit("teslim")) & has_any(low, v.REQUIREMENT_WORDS)
+        return ~has_any(low, v.STATUS_WORDS) & (hands_in | (has_any(low, v.CODE_WORDS) & has_any(low, v.CONTENTS_WORDS)))
 
+    return bound(lower_tr(text), asks) if low is None else asks(low)
 
-def suggested_mode(text: Column, groups: Groups = v.MODE_WORDS) -> Column:
-    return first_of(lower_tr(text), groups.items(), F.lit(v.QA))
+
+def is_channel_query(text: Column, low: Column | None = None) -> Column:
+    asks = lambda low: F.contains(low, F.lit("whatsapp")) & has_any(low, v.CHANNEL_WORDS)
+    return bound(lower_tr(text), asks) if low is None else asks(low)
+
+
+def suggested_mode(text: Column, groups: Groups = v.MODE_WORDS, low: Column | None = None) -> Column:
+    return first_of(lower_tr(text) if low is None else low, groups.items(), F.lit(v.QA))
 
 
 def resolved_mode(text: Column, requested: Column) -> Column:

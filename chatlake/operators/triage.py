@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.functions import vocabulary as v
-from chatlake.functions.text import W, first_of, has_any, lower_tr
+from chatlake.functions.text import W, bound, first_of, has_any, lower_tr
 from chatlake.operators import topics
 from chatlake.operators.answering import ask
 from chatlake.operators.index import Index
@@ -19,18 +19,31 @@ PERSONAL = "|".join(
 
 
 def intent_of(text: Column) -> Column:
-    """Narrow questions first, broad vocabulary last."""
-    hint, topic = topics.suggested_mode(text), topics.query_topic(text, F.lit(v.QA))
-    return (
-        F.when(F.trim(text) == "", "unknown").when(topics.is_channel_query(text), "submission_channel").when(topics.is_requirement_query(text), "submission_requirement")
-        .when(hint == v.CORRECTION, "correction_request").when(has_any(lower_tr(text), v.CERTIFICATE_WORDS), "certificate").when(hint == v.TECHNICAL, "technical_help")
-        .when(hint == v.CHECKLIST, "submission_requirement").when(topic == "correction", "correction_request").when(topic == "technical", "technical_help")
-        .when(topic == "roster", "roster_continue").when(topic == "submission", "submission_requirement").otherwise("unknown")
-    )
+    """Narrow questions first, broad vocabulary last. The lower case, the hint and the topic are each worked out once for a row."""
+
+    def by_topic(topic: Column) -> Column:
+        return (
+            F.when(topic == "correction", "correction_request").when(topic == "technical", "technical_help").when(topic == "roster", "roster_continue")
+            .when(topic == "submission", "submission_requirement").otherwise("unknown")
+        )
+
+    def by_hint(low: Column, hint: Column) -> Column:
+        return (
+            F.when(hint == v.CORRECTION, "correction_request").when(has_any(low, v.CERTIFICATE_WORDS), "certificate").when(hint == v.TECHNICAL, "technical_help")
+            .when(hint == v.CHECKLIST, "submission_requirement").otherwise(bound(topics.query_topic(text, F.lit(v.QA), low=low), by_topic))
+        )
+
+    def of(low: Column) -> Column:
+        return (
+            F.when(F.trim(text) == "", "unknown").when(topics.is_channel_query(text, low), "submission_channel").when(topics.is_requirement_query(text, low), "submission_requirement")
+            .otherwise(bound(topics.suggested_mode(text, low=low), lambda hint: by_hint(low, hint)))
+        )
+
+    return bound(lower_tr(text), of)
 
 
 def mode_of(intent: Column) -> Column:
-    return F.coalesce(*[F.when(intent == i, F.lit(m)) for i, m in v.INTENT_MODES.items()])
+    return bound(intent, lambda x: F.coalesce(*[F.when(x == i, F.lit(m)) for i, m in v.INTENT_MODES.items()]))
 
 
 def sensitive_topic(text: Column) -> Column:

@@ -96,3 +96,7 @@ def test_vectors_are_made_without_a_shuffle(spark, monkeypatch):
     tiles = list(embedding._places([batch], 512))
     tiled = {(keys[int(i)].as_py(), int(b)): x for keys, row, bucket, value in tiles for i, b, x in zip(row, bucket, value)}
     assert len(tiles) > 3 and tiled.keys() == {(i, b) for i in want for b in want[i]} and all(abs(x - want[i][b]) < 1e-12 for (i, b), x in tiled.items())
+
+
+def test_intents_lower_a_text_few_times(spark, sf001):
+    assert plan_of(queries.QUERIES["classify_intent"](spark, sf001)).count("lower(") <= 4  # once for each side of the union; before, at each of some hundred words
