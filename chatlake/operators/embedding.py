@@ -50,16 +50,22 @@ def _digests_of(names: list[str]) -> list[np.ndarray]:
     return [_KNOWN[t] for t in names]
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``most`` elements of its lists in ``column``; a part ends with the row that exceeds it."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy()
+    tile = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    for at, end in itertools.pairwise([*np.flatnonzero(np.diff(tile, prepend=-1)), len(tile)]):
+        yield batch.slice(at, end - at)
+
+
 def _places(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """For tiles of ``(key, words)``: the keys, and of all places other than zero the text's number, the place and the value."""
     for batch in batches:
-        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
-        tile = (np.cumsum(sizes) - sizes) // WORDS
-        for at, end in itertools.pairwise([*np.flatnonzero(np.diff(tile, prepend=-1)), len(tile)]):
-            part = batch.slice(at, end - at)
+        for part in parts(batch, 1, WORDS):
+            sizes = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy()
             coded = part.column(1).flatten().dictionary_encode()
             code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            row = np.repeat(np.arange(end - at), sizes[at:end])
+            row = np.repeat(np.arange(len(part)), sizes)
             of = _digests_of(names)
             start = np.cumsum([0, *map(len, of)])
             times = start[code + 1] - start[code]
@@ -77,7 +83,7 @@ def _places(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.A
             cell, same = np.unique(text * dims + bucket[feature], return_inverse=True)
             x = np.bincount(same, sign[feature] * (1 + np.log(weight + 1)), len(cell))
             text, bucket = np.divmod(cell, dims)
-            norm = np.sqrt(np.bincount(text, x * x, end - at))[text]
+            norm = np.sqrt(np.bincount(text, x * x, len(part)))[text]
             yield part.column(0), text, bucket, np.divide(x, norm, out=np.zeros(len(x)), where=norm > 0)
 
 

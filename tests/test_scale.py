@@ -26,6 +26,27 @@ def test_postings_are_made_without_a_shuffle(spark, sf001):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_long_texts_are_counted_in_tiles(monkeypatch):
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = [["a", "b", "a", "c"], [], None, ["c"] * 5, ["b", "a"], ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts, pa.list_(pa.string()))], names=["k", "s"])
+    monkeypatch.setattr(index, "WORDS", 3)
+    tiles = list(index._counted([batch, batch.slice(0, 0)], "k"))
+    rows = [(r["k"], r["doc_len"], dict(zip(r["terms"], r["tfs"]))) for t in tiles for r in t.to_pylist()]
+    assert len(tiles) > 2 and rows == [(i, None if t is None else len(t), dict(Counter(t or []))) for i, t in enumerate(texts)]
+    monkeypatch.undo()
+    words = pa.array([f"w{i}" for i in range(1000)]).take(pa.array([i * i % 1000 for i in range(8000)] * 500))
+    long = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.ListArray.from_arrays(pa.array(range(0, 4_000_001, 8000), pa.int32()), words)], names=["k", "s"])
+    tracemalloc.start()
+    assert sum(t.num_rows for t in index._counted([long], "k")) == 500
+    assert tracemalloc.get_traced_memory()[1] < 50e6  # 4 million words; before, arrays of all of them at once
+    tracemalloc.stop()
+
+
 def test_best_documents_are_chosen_in_the_tasks(spark, monkeypatch):
     lex = index.lexical(docs_of(spark), "doc_id")
     asked = spark.createDataFrame([(1, "köpek kedi köpek"), (2, "balık"), (3, "kuş balık1"), (4, "yok"), (5, None), (6, "köpek")], "query_id long, text string")
