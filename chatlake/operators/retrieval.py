@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chatlake.functions import vocabulary as v
 from chatlake.functions.text import stems
@@ -92,29 +94,38 @@ def jaccard(a: Column, b: Column) -> Column:
 def diversified(pool: DataFrame, limit: int, query: str = "query_id", key: str = "chunk_id", config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """``query, key, place``: greedy maximal marginal relevance over ``pool(query, key, score, text)``, near copies of a chosen one never chosen.
 
-    The pool of a question is bounded by the two candidate lists, so the fold holds at most twice their length.
+    The pools are sorted by question and stream by: a task holds the stems of one question's pool at a time, at most twice the length of a candidate list.
+    A row without a score is never chosen.
     """
     lam, dup = config.diversity, config.duplicate
-    item = F.struct((-F.round("score", 12)).alias("n"), F.col(key).alias("key"), F.array_distinct(stems(F.col("text"))).alias("stems"))
-    lists = pool.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("p"))
-    start = F.struct(F.slice("p", 1, 1).alias("chosen"), F.slice("p", 2, 1000000).alias("rest"))
-
-    def pick(s: Column, _: Column) -> Column:
-        def value(c: Column, i: Column) -> Column:
-            near = F.array_max(F.transform(s["chosen"], lambda x: jaccard(c["stems"], x["stems"])))
-            return F.struct(F.when(near >= dup, F.lit(None)).otherwise(-lam * c["n"] - (1 - lam) * near).alias("v"), (-i).alias("i"))
-
-        options = F.filter(F.transform(s["rest"], value), lambda o: o["v"].isNotNull())
-        # The best option is bound once, as the one element of an array; written out it would be worked out again for every element.
-        taken = F.transform(
-            F.array(F.array_max(options)["i"]),
-            lambda i: F.when(i.isNull(), s).otherwise(F.struct(F.concat(s["chosen"], F.slice(s["rest"], 1 - i, 1)).alias("chosen"), F.filter(s["rest"], lambda c, n: n != -i).alias("rest"))),
-        )
-        return F.get(taken, F.lit(0))
-
-    steps = F.sequence(F.lit(2), F.lit(limit)) if limit > 1 else F.array().cast("array<int>")
-    chosen = lists.select(query, F.posexplode(F.aggregate(steps, start, pick, lambda s: s["chosen"])).alias("place", "c"))
-    return chosen.select(query, F.col("c.key").alias(key), (F.col("place") + 1).alias("place"))
+    rows = pool.where(F.col("score").isNotNull()).select(query, key, (-F.round("score", 12)).alias("n"), F.array_distinct(stems(F.col("text"))).alias("stems"))
+
+    def near(a: set | None, b: set | None) -> float | None:
+        if a == set() or b == set():
+            return 0.0
+        if a is None or b is None:  # nothing is known of a missing text
+            return None
+        both = len(a & b)
+        return both / (len(a) + len(b) - both)
+
+    def chosen(group: pa.Table) -> pa.Table:
+        keys, n = group.column(1).to_pylist(), group.column(2).to_pylist()
+        sets = [None if s is None else set(s) for s in group.column(3).to_pylist()]
+        rest = sorted(range(len(keys)), key=lambda i: (n[i], keys[i] is not None, keys[i]))
+        taken, nearest = [], [None] * len(keys)
+        while rest and len(taken) < max(limit, 1):
+            best = rest[0] if not taken else max((i for i in rest if nearest[i] is not None and nearest[i] < dup), key=lambda i: -lam * n[i] - (1 - lam) * nearest[i], default=None)
+            if best is None:
+                break
+            taken.append(best)
+            rest.remove(best)
+            for i in rest:
+                x = near(sets[i], sets[best])
+                nearest[i] = max((y for y in (nearest[i], x) if y is not None), default=None)
+        own = group.select([0, 1]).take(pa.array(taken, pa.int32()))
+        return own.append_column("place", pa.array(range(1, len(taken) + 1), pa.int32()))
+
+    return rows.groupBy(query).applyInArrow(chosen, StructType([rows.schema[query], rows.schema[key], StructField("place", IntegerType(), False)]))
 
 
 def retrieve(

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatlake.operators import embedding, index
+from chatlake.operators import embedding, index, retrieval
 from chatlake.plans import queries
 
 
@@ -121,3 +121,15 @@ def test_vectors_are_made_without_a_shuffle(spark, monkeypatch):
 
 def test_intents_lower_a_text_few_times(spark, sf001):
     assert plan_of(queries.QUERIES["classify_intent"](spark, sf001)).count("lower(") <= 4  # once for each side of the union; before, at each of some hundred words
+
+
+def test_pools_stream_by_one_question_at_a_time(spark):
+    rows = [
+        (1, "b", 0.5, "elma armut"), (1, "a", 0.5, "kiraz erik"), (1, "c", 0.9, "elma armut kavun"), (1, "d", 0.4, None), (1, "e", None, "ceviz"), (1, "f", 0.3, "kiraz erik"), (1, None, 0.2, "söz"),
+        (2, "x", 0.7, None), (2, "y", 0.6, "elma"), (3, "z", None, "elma"), (4, "u", 0.6, None), (4, "v", 0.5, "!"),
+    ]
+    pool = spark.createDataFrame(rows, "query_id int, chunk_id string, score double, text string")
+    best = retrieval.diversified(pool, 6)
+    assert "FlatMapGroupsInArrow" in plan_of(best) and "collect_list" not in plan_of(best)  # a task held the pools of all its questions
+    # a and b tie: a is farther from c. f is a copy of a; d has no text, e no score; x has no text to compare y with, and v has one without words.
+    assert set(map(tuple, best.collect())) == {(1, "c", 1), (1, "a", 2), (1, "b", 3), (1, None, 4), (2, "x", 1), (4, "u", 1), (4, "v", 2)}
